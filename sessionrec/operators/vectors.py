@@ -42,8 +42,8 @@ def _cell_search(query: str, item: str, k: int) -> Callable:
         if queries.empty or items.empty:
             return empty
         items = items.sort_values(item)
-        ids, base = items[item].to_numpy(), _unit(items["vec"])
-        keys, wanted = queries[query].to_numpy(), _unit(queries["vec"])
+        ids, base = items[item].to_numpy(), _unit(items["_item_vec"])
+        keys, wanted = queries[query].to_numpy(), _unit(queries["_query_vec"])
         take = min(k, len(ids))
         step = max(1, _CHUNK_CELLS // len(ids))
         parts = []
@@ -91,13 +91,13 @@ def vector_topk(
 
     left = queries.select(
         query,
-        "vec",
+        F.col("vec").alias("_query_vec"),
         F.pmod(F.xxhash64(query), F.lit(query_blocks)).cast("int").alias("_qb"),
         blocks(item_blocks).alias("_ib"),
     )
     right = items.select(
         item,
-        "vec",
+        F.col("vec").alias("_item_vec"),
         F.pmod(F.xxhash64(item), F.lit(item_blocks)).cast("int").alias("_ib"),
         blocks(query_blocks).alias("_qb"),
     )

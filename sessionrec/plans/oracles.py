@@ -53,7 +53,7 @@ CTES["basket"] = """
   SELECT CAST(o_custkey AS INT) AS session, CAST(l_partkey AS INT) AS aid,
          epoch_us(CAST(o_orderdate AS TIMESTAMP)) // 1000000 AS ts,
          CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS TINYINT) AS type,
-         l_orderkey * 100 + l_linenumber AS eid
+         l_partkey * 4 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS eid
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 CTES["truth"] = "SELECT DISTINCT session, type, aid FROM later"
 CTES["truth_lists"] = (

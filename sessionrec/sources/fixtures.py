@@ -68,7 +68,10 @@ def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def basket_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer baskets as sessions: larger catalogue, many equal time stamps."""
+    """Customer baskets as sessions: larger catalogue, many equal time stamps.
+
+    Line numbers repeat within an order, so ties are broken by item and type.
+    """
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     kind = F.expr("CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END")
@@ -79,7 +82,6 @@ def basket_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_partkey").alias("aid"),
             F.expr(_seconds("cast(o_orderdate as timestamp_ntz)")).alias("ts"),
             kind.alias("type"),
-            (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("eid"),
         )
     )
 
