@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,8 +63,3 @@ def bpr_loss(positive: Column, negative: Column, gamma: float = 1e-10) -> Column
     """-log(gamma + sigmoid(positive - negative)) of one example."""
     return -F.ln(gamma + 1.0 / (1.0 + F.exp(negative - positive)))
 
-
-def total_of_present(terms: list[Column]) -> Column:
-    """Sum that skips nulls and is null only if all terms are."""
-    total = reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0.0)) for t in terms])
-    return F.when(F.coalesce(*terms).isNotNull(), total)

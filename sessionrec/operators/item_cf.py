@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sessionrec.functions import columns as C
 from sessionrec.functions.order import best_first, score_ranks, top_k
-from sessionrec.operators.sessions import TYPES, count_of, item_counts, session_items
+from sessionrec.operators.sessions import TYPES, item_counts, session_items
 from sessionrec.sources.events import max_ts
 from sessionrec.sources.stages import materialize
 
@@ -92,7 +92,7 @@ def pair_cells(items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     ``size`` is the number of events of the session.
     """
     sessions = items.groupBy("session").agg(
-        F.sum(count_of(TYPES)).alias("size"),
+        F.expr("sum(n0 + n1 + n2) AS size"),
         F.ceil(F.count(F.lit(1)) / block_items).cast("int").alias("_blocks"),
     )
     block = F.pmod(F.xxhash64("aid"), F.col("_blocks")).cast("int")
@@ -109,13 +109,24 @@ def pair_cells(items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     )
 
 
+def join_partitions(df: DataFrame) -> int:
+    """Partitions of a multiplying join: the session's shuffle setting, every core busy."""
+    spark = df.sparkSession
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        4 * spark.sparkContext.defaultParallelism,
+    )
+
+
 def unordered_pairs(cells: DataFrame) -> DataFrame:
     """Each pair of items of a session once: ``a``, ``b`` (a <= b) with their times.
 
-    Both sides of the join are the same cells, so they share one shuffle.
+    Both sides of the join are the same cells, so they share one shuffle. Its number
+    of partitions is fixed: the rows are few and small here, but multiply in the join.
     """
-    left, right = cells.alias("l"), cells.alias("r")
     cell = ("session", "size", "_cell_a", "_cell_b")  # size depends on the session
+    spread = cells.repartition(join_partitions(cells), *cell)
+    left, right = spread.alias("l"), spread.alias("r")
     same_cell = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in cell]
     one_block = (F.col("l._cell_a") == F.col("l._cell_b")) & (F.col("l.aid") <= F.col("r.aid"))
     two_blocks = (F.col("l._block") < F.col("r._block"))
@@ -137,20 +148,41 @@ def unordered_pairs(cells: DataFrame) -> DataFrame:
     )
 
 
-def _direction(rule: PairRule, source: str, target: str, newest):
-    """Weight of one direction of one pair in one session; null if no events match."""
+def _direction(rule: PairRule, source: str, target: str) -> str:
+    """SQL weight of one direction of a pair in one session; null if no events match.
+
+    Uses the columns of ``_pair_terms``. Rules make many small terms, which read and
+    parse faster as SQL text than as chained columns.
+    """
     terms = []
     for i, j in product(rule.source, rule.target):
-        near = F.col(f"d{i}{j}" if source == "a" else f"d{j}{i}")
-        ts, ts_right = F.col(f"{source}{i}"), F.col(f"{target}{j}")
-        weight = near if rule.decay else F.when(near.isNotNull(), F.lit(1.0))
+        near = f"near_{i}{j}" if source == "a" else f"near_{j}{i}"
+        weight = near if rule.decay else f"if(isnotnull({near}), 1D, null)"
         if rule.trend:
-            weight = weight * C.trend(newest, ts_right)
+            weight = f"{weight} * trend_{target}{j}"
         if rule.future:
-            weight = F.when(ts < ts_right, weight)
+            weight = f"if({source}{i} < {target}{j}, {weight}, null)"
         terms.append(weight)
-    total = C.total_of_present(terms)
-    return total * F.col("_damping") if rule.session_size else total
+    total = " + ".join(f"coalesce({t}, 0D)" for t in terms)
+    damped = f"({total}) * damping" if rule.session_size else f"({total})"
+    return f"if(isnotnull(coalesce({', '.join(terms)})), {damped}, null)"
+
+
+def _pair_terms(pairs: DataFrame, events: DataFrame, used: list[int], trend: bool) -> DataFrame:
+    """The terms all rules share, once per pair: near_<ij>, trend_<side><j>, damping."""
+    near = [
+        C.time_decay(F.col(f"a{i}"), F.col(f"b{j}")).alias(f"near_{i}{j}")
+        for i, j in product(used, used)
+    ]
+    trends = []
+    if trend:
+        newest = max_ts(events)
+        trends = [
+            C.trend(newest, F.col(f"{side}{j}")).alias(f"trend_{side}{j}")
+            for side, j in product("ab", used)
+        ]
+    damping = C.session_size_damping(F.col("size")).alias("damping")
+    return pairs.select("*", *near, *trends, damping)
 
 
 def pair_weights(
@@ -165,49 +197,33 @@ def pair_weights(
     sized = pair_cells(items, block_items)
     touched = F.coalesce(*[F.col(f"t{t}") for t in used]).isNotNull()
     pairs = unordered_pairs(sized.filter(touched))
-
-    newest = max_ts(events)
-    decays = [
-        C.time_decay(F.col(f"a{i}"), F.col(f"b{j}")).alias(f"d{i}{j}")
-        for i, j in product(used, used)
-    ]
-    damping = C.session_size_damping(F.col("size")).alias("_damping")
-    weighted = pairs.select("*", *decays, damping)
+    terms = _pair_terms(pairs, events, used, any(r.trend for r in rules))
 
     sums = []
     for n, rule in enumerate(rules):
-        sums.append(F.sum(_direction(rule, "a", "b", newest)).alias(f"f{n}"))
-        back = F.when(F.col("a") < F.col("b"), _direction(rule, "b", "a", newest))
-        sums.append(F.sum(back).alias(f"g{n}"))
-    summed = weighted.groupBy("a", "b").agg(*sums)
+        back = _direction(rule, "b", "a")
+        sums.append(F.expr(f"sum({_direction(rule, 'a', 'b')}) AS forward_{n}"))
+        sums.append(F.expr(f"sum(if(a < b, {back}, null)) AS back_{n}"))
+    summed = terms.groupBy("a", "b").agg(*sums)
 
     counts = item_counts(items)
-    summed = summed.join(
-        counts.select(F.col("aid").alias("a"), F.col("counts").alias("_ca")), "a"
-    ).join(counts.select(F.col("aid").alias("b"), F.col("counts").alias("_cb")), "b")
-    popularity = C.popularity_damping(F.col("_ca"), F.col("_cb"))
-
-    directed = []
-    for n, rule in enumerate(rules):
-        scale = popularity if rule.popularity else F.lit(1.0)
-        for source, target, value in (("a", "b", f"f{n}"), ("b", "a", f"g{n}")):
-            directed.append(
-                F.struct(
-                    F.lit(rule.name).alias("rule"),
-                    F.col(source).alias("aid"),
-                    F.col(target).alias("aid_right"),
-                    (F.col(value) * scale).alias("weight"),
-                )
-            )
-    out = (
-        summed.select(F.explode(F.array(*directed)).alias("_p"))
-        .select("_p.*")
-        .filter(F.col("weight").isNotNull())
+    damped = (
+        summed.join(counts.toDF("a", "count_a"), "a")
+        .join(counts.toDF("b", "count_b"), "b")
+        .withColumn("popular", C.popularity_damping(F.col("count_a"), F.col("count_b")))
     )
-    selfless = [r.name for r in rules if r.drop_self]
+    directed = ", ".join(
+        f"struct({n} AS rule, {left} AS aid, {right} AS aid_right, "
+        f"{value}_{n}{' * popular' if rule.popularity else ''} AS weight)"
+        for n, rule in enumerate(rules)
+        for left, right, value in (("a", "b", "forward"), ("b", "a", "back"))
+    )
+    rows = damped.selectExpr(f"inline(array({directed}))").filter("weight IS NOT NULL")
+    selfless = [n for n, r in enumerate(rules) if r.drop_self]
     if selfless:
-        out = out.filter(~F.col("rule").isin(selfless) | (F.col("aid") != F.col("aid_right")))
-    return out
+        rows = rows.filter(~F.col("rule").isin(selfless) | (F.col("aid") != F.col("aid_right")))
+    names = F.array(*[F.lit(r.name) for r in rules])
+    return rows.withColumn("rule", names[F.col("rule")])
 
 
 def item_pairs(
@@ -223,7 +239,7 @@ def item_pairs(
     """
     weights = pair_weights(events, rules, block_items)
     stored = weights.withColumn("weight", F.col("weight").cast("float"))
-    return top_k(stored, ["rule", "aid"], best_first("weight", "aid_right"), neighbours)
+    return top_k(stored, ["aid", "rule"], best_first("weight", "aid_right"), neighbours)
 
 
 def pair_counts(events: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -249,17 +265,19 @@ def pair_counts(events: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     )
 
 
-def _weight_aggregates(aggregations: tuple[str, ...]):
-    n, w = F.col("_n"), F.col("weight").cast("double")
-    available = {
-        "sum": F.sum(n * w),
-        "mean": F.sum(n * w) / F.sum(n),
-        "max": F.max(w),
-        "min": F.min(w),
-        "count": F.sum(n).cast("double"),
-        "last": F.sum(F.when(F.col("_last"), w)),
-    }
-    return [available[a].alias(a) for a in aggregations]
+# Aggregates of a neighbour's weights ``w``, each counted ``n`` times.
+_AGGREGATES = {
+    "sum": "sum(n * w)",
+    "mean": "sum(n * w) / sum(n)",
+    "max": "max(w)",
+    "min": "min(w)",
+    "count": "cast(sum(n) AS double)",
+    "last": "sum(if(newest, w, null))",
+}
+
+
+def _key(types: tuple[int, ...]) -> str:
+    return "".join(map(str, types))
 
 
 def neighbour_scores(
@@ -274,47 +292,31 @@ def neighbour_scores(
     ``last`` uses the newest source event only. ``std`` needs the single values and
     is ``neighbour_std``. Output: session, rule, aid, agg, score.
     """
-    sources = {"".join(map(str, r.source)): r.source for r in rules}
-    order = F.struct("ts", "eid", "aid")
-    last = events.groupBy("session").agg(
-        *[
-            F.max(F.when(F.col("type").isin(list(types)), order))["aid"].alias(f"_last{key}")
-            for key, types in sources.items()
-        ]
-    )
-    items = session_items(events).join(last, "session") if "last" in aggregations else (
-        session_items(events)
-    )
-    uses = F.array(
-        *[
-            F.struct(
-                F.lit(r.name).alias("rule"),
-                count_of(r.source).alias("_n"),
-                (
-                    F.col("aid").eqNullSafe(F.col("_last" + "".join(map(str, r.source))))
-                    if "last" in aggregations
-                    else F.lit(False)
-                ).alias("_last"),
+    items = session_items(events)
+    newest = "false"
+    if "last" in aggregations:
+        edges = [
+            F.expr(
+                f"max(if(type IN ({', '.join(map(str, types))}), struct(ts, eid, aid), null)).aid"
+                f" AS last_{_key(types)}"
             )
-            for r in rules
+            for types in dict.fromkeys(r.source for r in rules)
         ]
+        items = items.join(events.groupBy("session").agg(*edges), "session")
+        newest = "aid <=> last_{}"
+    uses = ", ".join(
+        f"struct('{r.name}' AS rule, {' + '.join(f'n{t}' for t in r.source)} AS n, "
+        f"{newest.format(_key(r.source))} AS newest)"
+        for r in rules
     )
-    used = (
-        items.select("session", "aid", F.explode(uses).alias("_u"))
-        .select("session", "aid", "_u.*")
-        .filter("_n > 0")
+    used = items.selectExpr("session", "aid", f"inline(array({uses}))").filter("n > 0")
+    joined = used.join(pairs.withColumn("w", F.col("weight").cast("double")), ["rule", "aid"])
+    scored = joined.groupBy("session", "rule", F.col("aid_right").alias("aid")).agg(
+        *[F.expr(f"{_AGGREGATES[a]} AS {a}") for a in aggregations]
     )
-    joined = used.join(pairs, ["rule", "aid"])
-    scored = joined.groupBy("session", "rule", "aid_right").agg(
-        *_weight_aggregates(aggregations)
-    )
-    long = F.explode(
-        F.array(*[F.struct(F.lit(a).alias("agg"), F.col(a).alias("score")) for a in aggregations])
-    )
-    return (
-        scored.select("session", "rule", F.col("aid_right").alias("aid"), long.alias("_s"))
-        .select("session", "rule", "aid", "_s.agg", "_s.score")
-        .filter(F.col("score").isNotNull())
+    long = ", ".join(f"struct('{a}' AS agg, {a} AS score)" for a in aggregations)
+    return scored.selectExpr("session", "rule", "aid", f"inline(array({long}))").filter(
+        "score IS NOT NULL"
     )
 
 

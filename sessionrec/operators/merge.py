@@ -40,14 +40,14 @@ ITEM2VEC = (Generator("item2vec_last", 20, 1.0), Generator("item2vec_seq", 20, 1
 ALL_GENERATORS = (*HISTORY, *ITEM_CF, *ITEM_MF, *USER_MF, *ITEM2VEC)
 
 
-def _is(generator: Generator):
-    return F.col("cg") == generator.name
+def _chosen(generators: tuple[Generator, ...]) -> str:
+    """SQL condition: a row is among the first rows of its generator."""
+    return " OR ".join(f"(cg = '{g.name}' AND rank <= {g.top})" for g in generators)
 
 
 def selected_pairs(candidates: DataFrame, generators: tuple[Generator, ...]) -> DataFrame:
     """Distinct (session, aid) among the first rows of every generator."""
-    chosen = reduce(lambda a, b: a | b, [_is(g) & (F.col("rank") <= g.top) for g in generators])
-    return candidates.filter(chosen).select("session", "aid").distinct()
+    return candidates.filter(_chosen(generators)).select("session", "aid").distinct()
 
 
 def wide_candidates(candidates: DataFrame, generators: tuple[Generator, ...]) -> DataFrame:
@@ -58,28 +58,31 @@ def wide_candidates(candidates: DataFrame, generators: tuple[Generator, ...]) ->
     """
     known = candidates.filter(F.col("cg").isin([g.name for g in generators]))
     values = [
-        F.max(F.when(_is(g), F.col(c))).alias(f"{g.name}_{n}")
+        F.expr(f"max(if(cg = '{g.name}', {column}, null)) AS {g.name}_{name}")
         for g in generators
-        for c, n in (("score", "score"), ("rank", "score_rank"), ("min_rank", "score_min_rank"))
+        for column, name in (
+            ("score", "score"),
+            ("rank", "score_rank"),
+            ("min_rank", "score_min_rank"),
+        )
     ]
-    chosen = reduce(lambda a, b: a | b, [_is(g) & (F.col("rank") <= g.top) for g in generators])
     grouped = (
         known.groupBy("session", "aid")
-        .agg(F.max(chosen).alias("_chosen"), *values)
-        .filter("_chosen")
+        .agg(F.expr(f"max({_chosen(generators)}) AS chosen"), *values)
+        .filter("chosen")
     )
-    columns = [F.col("session"), F.col("aid")]
-    for g in generators:
-        rank = F.col(f"{g.name}_score_rank")
-        columns += [
-            F.coalesce((rank <= g.top).cast("tinyint"), F.lit(0).cast("tinyint")).alias(
-                f"{g.name}_score_selected"
-            ),
-            F.coalesce(f"{g.name}_score", F.lit(-1.0).cast("float")).alias(f"{g.name}_score"),
-            F.coalesce(rank, F.lit(-1)).alias(f"{g.name}_score_rank"),
-            F.coalesce(f"{g.name}_score_min_rank", F.lit(-1)).alias(f"{g.name}_score_min_rank"),
-        ]
-    return grouped.select(*columns)
+    columns = [
+        column
+        for g in generators
+        for column in (
+            f"cast(coalesce({g.name}_score_rank <= {g.top}, false) AS tinyint)"
+            f" AS {g.name}_score_selected",
+            f"coalesce({g.name}_score, cast(-1 AS float)) AS {g.name}_score",
+            f"coalesce({g.name}_score_rank, -1) AS {g.name}_score_rank",
+            f"coalesce({g.name}_score_min_rank, -1) AS {g.name}_score_min_rank",
+        )
+    ]
+    return grouped.selectExpr("session", "aid", *columns)
 
 
 def add_votes(merged: DataFrame, generators: tuple[Generator, ...]) -> DataFrame:
@@ -87,11 +90,12 @@ def add_votes(merged: DataFrame, generators: tuple[Generator, ...]) -> DataFrame
 
     A session has at most the sum of all ``top`` values as rows here.
     """
-    flags = [F.col(f"{g.name}_score_selected") for g in generators]
-    votes = reduce(lambda a, b: a + b, [f.cast("int") for f in flags])
-    weighted = reduce(lambda a, b: a + b, [f * F.lit(g.weight) for f, g in zip(flags, generators)])
-    scored = merged.withColumn("cand_feature_selected_num", votes.cast("tinyint")).withColumn(
-        "cand_feature_selected_score", weighted.cast("float")
+    votes = " + ".join(f"cast({g.name}_score_selected AS int)" for g in generators)
+    weighted = " + ".join(f"{g.name}_score_selected * {g.weight}D" for g in generators)
+    scored = merged.selectExpr(
+        "*",
+        f"cast({votes} AS tinyint) AS cand_feature_selected_num",
+        f"cast({weighted} AS float) AS cand_feature_selected_score",
     )
     return score_ranks(
         scored,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,23 @@ def _rounded(df: DataFrame, digits: int = 6, only: set[str] | None = None) -> Da
     )
 
 
+class Logs(NamedTuple):
+    """Stage tables of the preprocessing step."""
+
+    train: DataFrame
+    test: DataFrame
+    labels: DataFrame
+
+
+def _logs(s, d) -> Logs:
+    """Written once per query that reads the logs many times, like the pipeline does."""
+    return Logs(
+        st.materialize(_train(s, d), "train"),
+        st.materialize(_test(s, d), "test"),
+        st.materialize(_labels(s, d), "labels"),
+    )
+
+
 # --- candidates ---------------------------------------------------------------
 
 
@@ -132,47 +150,45 @@ def _cf_all(s, d):
     return found.withColumn("score", F.round(F.col("score").cast("double") * scale, 6))
 
 
-def _candidates(s, d) -> DataFrame:
+def _candidates(logs: Logs) -> DataFrame:
     """History and item-CF candidates in one long table."""
-    test = _test(s, d)
-    history = all_history_candidates(test, hot_sessions(test))
-    pairs = st.materialize(_pairs(s, d, BASE_RULE), "pairs")
-    neighbours = cf.item_cf_candidates(test, pairs, (BASE_RULE,))
+    history = all_history_candidates(logs.test, hot_sessions(logs.test))
+    pairs = st.materialize(cf.item_pairs(logs.train, (BASE_RULE,)), "pairs")
+    neighbours = cf.item_cf_candidates(logs.test, pairs, (BASE_RULE,))
     return history.unionByName(neighbours)
 
 
-def _heads(s, d):
-    return mg.selected_pairs(_candidates(s, d), BASE_GENERATORS)
+def _heads(logs: Logs) -> DataFrame:
+    return mg.selected_pairs(_candidates(logs), BASE_GENERATORS)
 
 
-def _labelled(s, d):
-    return mg.label_candidates(_heads(s, d), _labels(s, d))
+def _labelled(logs: Logs) -> DataFrame:
+    return mg.label_candidates(_heads(logs), logs.labels)
 
 
-def _folded(s, d):
-    return mg.add_folds(st.materialize(_labelled(s, d), "labelled"))
+def _folded(logs: Logs) -> DataFrame:
+    return mg.add_folds(st.materialize(_labelled(logs), "labelled"))
 
 
-def _sampled(s, d):
-    return sp.sample_negatives(_folded(s, d))
+def _sampled(logs: Logs) -> DataFrame:
+    return sp.sample_negatives(_folded(logs))
 
 
-def _trained(s, d):
-    return rk.add_targets(_sampled(s, d))
+def _trained(logs: Logs) -> DataFrame:
+    return rk.add_targets(_sampled(logs))
 
 
-def _wide(s, d):
-    return mg.wide_candidates(_candidates(s, d), BASE_GENERATORS)
+def _wide(logs: Logs) -> DataFrame:
+    return mg.wide_candidates(_candidates(logs), BASE_GENERATORS)
 
 
-def _votes(s, d):
-    return mg.add_votes(_wide(s, d), BASE_GENERATORS)
+def _votes(logs: Logs) -> DataFrame:
+    return mg.add_votes(_wide(logs), BASE_GENERATORS)
 
 
-def _merged(s, d):
+def _merged(logs: Logs) -> DataFrame:
     """Everything a ranker needs: scores, votes, targets, folds."""
-    wide = st.materialize(_wide(s, d), "wide")
-    labelled = st.materialize(mg.label_candidates(wide, _labels(s, d)), "labelled")
+    labelled = st.materialize(mg.label_candidates(_wide(logs), logs.labels), "labelled")
     return st.materialize(mg.add_votes(mg.add_folds(labelled), BASE_GENERATORS), "merged")
 
 
@@ -270,7 +286,8 @@ def _item2vec_candidates(seed: str) -> Query:
 
 
 def _with_features(s, d):
-    merged = merge_features(_heads(s, d), build_features(_train(s, d), _test(s, d)))
+    logs = _logs(s, d)
+    merged = merge_features(_heads(logs), build_features(logs.train, logs.test))
     kinds = dict(merged.dtypes)
     return merged.select(
         "session",
@@ -315,19 +332,19 @@ def history_recall_curve(s, d):
 
 
 def _merged_recall_curve(s, d):
-    return _rounded(
-        ev.recall_curve(_labels(s, d), _votes(s, d), rank="cand_feature_selected_rank")
-    )
+    logs = _logs(s, d)
+    return _rounded(ev.recall_curve(logs.labels, _votes(logs), rank="cand_feature_selected_rank"))
 
 
 def _ndcg(s, d):
-    scored = mg.add_targets(_votes(s, d), _labels(s, d))
+    logs = _logs(s, d)
+    scored = mg.add_targets(_votes(logs), logs.labels)
     return _rounded(ev.ndcg_at_k(scored, "target_click", score=VOTE))
 
 
 def _pairwise(s, d):
-    votes = _votes(s, d)
-    rows = rk.with_target_rows(_trained(s, d), "target_click").join(votes, ["session", "aid"])
+    sampled = rk.add_targets(sp.sample_negatives(_merged(_logs(s, d))))
+    rows = rk.with_target_rows(sampled, "target_click")
     found = rk.pairwise_examples(rows, "target_click", [VOTE], VOTE)
     return found.select(
         "session",
@@ -339,19 +356,24 @@ def _pairwise(s, d):
 
 
 def _fold_split(s, d):
-    sampled = st.materialize(_sampled(s, d), "sampled")
+    sampled = st.materialize(_sampled(_logs(s, d)), "sampled")
     train = rk.training_rows(sampled, "target_click", 0).withColumn("part", F.lit("train"))
     valid = rk.validation_rows(sampled, "target_click", 0).withColumn("part", F.lit("valid"))
     return train.unionByName(valid).select("session", "aid", "target_click", "fold", "part")
 
 
+def _with_targets(s, d):
+    logs = _logs(s, d)
+    return mg.add_targets(_heads(logs), logs.labels)
+
+
 def _shuffled(s, d):
-    return sp.shuffle_in_session(_sampled(s, d)).select("session", "aid", "position")
+    return sp.shuffle_in_session(_sampled(_logs(s, d))).select("session", "aid", "position")
 
 
 def _rank(kind: str, target: str, **params) -> Query:
     def run(s, d):
-        merged = _merged(s, d)
+        merged = _merged(_logs(s, d))
         sampled = st.materialize(sp.sample_negatives(merged), "sampled")
         models = rk.train_folds(sampled, target, RANK_FEATURES, (0,), kind, **params)
         return rk.predict_folds(models, merged, target, RANK_FEATURES, kind)
@@ -364,7 +386,7 @@ _LINEAR = {"rounds": 2, "iterations": 10, "start_score": VOTE}
 
 
 def _score_candidates(s, d):
-    merged = _merged(s, d)
+    merged = _merged(_logs(s, d))
     sampled = st.materialize(sp.sample_negatives(merged), "sampled")
     models = rk.train_folds(sampled, "target_buy", RANK_FEATURES, kind="pairwise", **_LINEAR)
     scores = rk.predict_folds(models, merged, "target_buy", RANK_FEATURES, "pairwise")
@@ -372,13 +394,13 @@ def _score_candidates(s, d):
 
 
 def _importance(s, d):
-    sampled = st.materialize(sp.sample_negatives(_merged(s, d)), "sampled")
+    sampled = st.materialize(sp.sample_negatives(_merged(_logs(s, d))), "sampled")
     models = rk.train_folds(sampled, "target_click", RANK_FEATURES, (0,), **_TREES)
     return rk.feature_importance(s, models, RANK_FEATURES)
 
 
 def _model_roundtrip(s, d):
-    merged = _merged(s, d)
+    merged = _merged(_logs(s, d))
     sampled = st.materialize(sp.sample_negatives(merged), "sampled")
     model = rk.train_folds(sampled, "target_click", RANK_FEATURES, (0,), **_TREES)[0]
     path = st.stage_path(s, "model")
@@ -492,10 +514,10 @@ def queries() -> dict[str, Query]:
         "cand_item_mf_seq": _mf_candidates("seq"),
         "cand_item2vec_last": _item2vec_candidates("last"),
         "cand_item2vec_seq": _item2vec_candidates("seq"),
-        "merge_candidates": _heads,
-        "candidate_scores_wide": lambda s, d: _rounded(_wide(s, d)),
+        "merge_candidates": lambda s, d: _heads(_logs(s, d)),
+        "candidate_scores_wide": lambda s, d: _rounded(_wide(_logs(s, d))),
         "candidate_votes": lambda s, d: _rounded(
-            _votes(s, d).select(
+            _votes(_logs(s, d)).select(
                 "session",
                 "aid",
                 "cand_feature_selected_num",
@@ -504,17 +526,17 @@ def queries() -> dict[str, Query]:
                 "cand_feature_selected_min_rank",
             )
         ),
-        "label_candidates": lambda s, d: mg.add_targets(_heads(s, d), _labels(s, d)),
-        "drop_no_target_sessions": _labelled,
-        "group_kfold": lambda s, d: mg.session_folds(_labelled(s, d)),
-        "negative_sample": _sampled,
+        "label_candidates": _with_targets,
+        "drop_no_target_sessions": lambda s, d: _labelled(_logs(s, d)),
+        "group_kfold": lambda s, d: mg.session_folds(_labelled(_logs(s, d))),
+        "negative_sample": lambda s, d: _sampled(_logs(s, d)),
         "shuffle_within_session": _shuffled,
         "candidates_with_features": _with_features,
-        "derive_targets": lambda s, d: rk.with_target_rows(_trained(s, d), "target_buy").select(
+        "derive_targets": lambda s, d: rk.with_target_rows(_trained(_logs(s, d)), "target_buy").select(
             "session", "aid", "target_inter", "target_buy"
         ),
         "derive_targets_session": lambda s, d: rk.with_target_rows(
-            _trained(s, d), "target_buy", session_level=True
+            _trained(_logs(s, d)), "target_buy", session_level=True
         ).select("session", "aid", "target_inter", "target_buy"),
         "fold_split": _fold_split,
         "pairwise_examples": _pairwise,
@@ -523,7 +545,7 @@ def queries() -> dict[str, Query]:
         "score_candidates": _score_candidates,
         "feature_importance": _importance,
         "model_roundtrip": _model_roundtrip,
-        "topk_lists": lambda s, d: ev.top_lists(_votes(s, d), 20, VOTE).select(
+        "topk_lists": lambda s, d: ev.top_lists(_votes(_logs(s, d)), 20, VOTE).select(
             "session", _joined("y_pred")
         ),
         "recall_at_k": _recall,
