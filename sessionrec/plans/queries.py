@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,21 +82,23 @@ def _rounded(df: DataFrame, digits: int = 6, only: set[str] | None = None) -> Da
     )
 
 
-class Logs(NamedTuple):
-    """Stage tables of the preprocessing step."""
+class Logs:
+    """The logs of a query that reads them many times: each written once, when used."""
 
-    train: DataFrame
-    test: DataFrame
-    labels: DataFrame
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._at = (spark, sf_dir)
 
+    @cached_property
+    def train(self) -> DataFrame:
+        return st.materialize(_train(*self._at), "train")
 
-def _logs(s, d) -> Logs:
-    """Written once per query that reads the logs many times, like the pipeline does."""
-    return Logs(
-        st.materialize(_train(s, d), "train"),
-        st.materialize(_test(s, d), "test"),
-        st.materialize(_labels(s, d), "labels"),
-    )
+    @cached_property
+    def test(self) -> DataFrame:
+        return st.materialize(_test(*self._at), "test")
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return st.materialize(_labels(*self._at), "labels")
 
 
 # --- candidates ---------------------------------------------------------------
@@ -286,7 +288,7 @@ def _item2vec_candidates(seed: str) -> Query:
 
 
 def _with_features(s, d):
-    logs = _logs(s, d)
+    logs = Logs(s, d)
     merged = merge_features(_heads(logs), build_features(logs.train, logs.test))
     kinds = dict(merged.dtypes)
     return merged.select(
@@ -332,18 +334,18 @@ def history_recall_curve(s, d):
 
 
 def _merged_recall_curve(s, d):
-    logs = _logs(s, d)
+    logs = Logs(s, d)
     return _rounded(ev.recall_curve(logs.labels, _votes(logs), rank="cand_feature_selected_rank"))
 
 
 def _ndcg(s, d):
-    logs = _logs(s, d)
+    logs = Logs(s, d)
     scored = mg.add_targets(_votes(logs), logs.labels)
     return _rounded(ev.ndcg_at_k(scored, "target_click", score=VOTE))
 
 
 def _pairwise(s, d):
-    sampled = rk.add_targets(sp.sample_negatives(_merged(_logs(s, d))))
+    sampled = rk.add_targets(sp.sample_negatives(_merged(Logs(s, d))))
     rows = rk.with_target_rows(sampled, "target_click")
     found = rk.pairwise_examples(rows, "target_click", [VOTE], VOTE)
     return found.select(
@@ -356,24 +358,24 @@ def _pairwise(s, d):
 
 
 def _fold_split(s, d):
-    sampled = st.materialize(_sampled(_logs(s, d)), "sampled")
+    sampled = st.materialize(_sampled(Logs(s, d)), "sampled")
     train = rk.training_rows(sampled, "target_click", 0).withColumn("part", F.lit("train"))
     valid = rk.validation_rows(sampled, "target_click", 0).withColumn("part", F.lit("valid"))
     return train.unionByName(valid).select("session", "aid", "target_click", "fold", "part")
 
 
 def _with_targets(s, d):
-    logs = _logs(s, d)
+    logs = Logs(s, d)
     return mg.add_targets(_heads(logs), logs.labels)
 
 
 def _shuffled(s, d):
-    return sp.shuffle_in_session(_sampled(_logs(s, d))).select("session", "aid", "position")
+    return sp.shuffle_in_session(_sampled(Logs(s, d))).select("session", "aid", "position")
 
 
 def _rank(kind: str, target: str, **params) -> Query:
     def run(s, d):
-        merged = _merged(_logs(s, d))
+        merged = _merged(Logs(s, d))
         sampled = st.materialize(sp.sample_negatives(merged), "sampled")
         models = rk.train_folds(sampled, target, RANK_FEATURES, (0,), kind, **params)
         return rk.predict_folds(models, merged, target, RANK_FEATURES, kind)
@@ -386,7 +388,7 @@ _LINEAR = {"rounds": 2, "iterations": 10, "start_score": VOTE}
 
 
 def _score_candidates(s, d):
-    merged = _merged(_logs(s, d))
+    merged = _merged(Logs(s, d))
     sampled = st.materialize(sp.sample_negatives(merged), "sampled")
     models = rk.train_folds(sampled, "target_buy", RANK_FEATURES, kind="pairwise", **_LINEAR)
     scores = rk.predict_folds(models, merged, "target_buy", RANK_FEATURES, "pairwise")
@@ -394,13 +396,13 @@ def _score_candidates(s, d):
 
 
 def _importance(s, d):
-    sampled = st.materialize(sp.sample_negatives(_merged(_logs(s, d))), "sampled")
+    sampled = st.materialize(sp.sample_negatives(_merged(Logs(s, d))), "sampled")
     models = rk.train_folds(sampled, "target_click", RANK_FEATURES, (0,), **_TREES)
     return rk.feature_importance(s, models, RANK_FEATURES)
 
 
 def _model_roundtrip(s, d):
-    merged = _merged(_logs(s, d))
+    merged = _merged(Logs(s, d))
     sampled = st.materialize(sp.sample_negatives(merged), "sampled")
     model = rk.train_folds(sampled, "target_click", RANK_FEATURES, (0,), **_TREES)[0]
     path = st.stage_path(s, "model")
@@ -514,10 +516,10 @@ def queries() -> dict[str, Query]:
         "cand_item_mf_seq": _mf_candidates("seq"),
         "cand_item2vec_last": _item2vec_candidates("last"),
         "cand_item2vec_seq": _item2vec_candidates("seq"),
-        "merge_candidates": lambda s, d: _heads(_logs(s, d)),
-        "candidate_scores_wide": lambda s, d: _rounded(_wide(_logs(s, d))),
+        "merge_candidates": lambda s, d: _heads(Logs(s, d)),
+        "candidate_scores_wide": lambda s, d: _rounded(_wide(Logs(s, d))),
         "candidate_votes": lambda s, d: _rounded(
-            _votes(_logs(s, d)).select(
+            _votes(Logs(s, d)).select(
                 "session",
                 "aid",
                 "cand_feature_selected_num",
@@ -527,16 +529,16 @@ def queries() -> dict[str, Query]:
             )
         ),
         "label_candidates": _with_targets,
-        "drop_no_target_sessions": lambda s, d: _labelled(_logs(s, d)),
-        "group_kfold": lambda s, d: mg.session_folds(_labelled(_logs(s, d))),
-        "negative_sample": lambda s, d: _sampled(_logs(s, d)),
+        "drop_no_target_sessions": lambda s, d: _labelled(Logs(s, d)),
+        "group_kfold": lambda s, d: mg.session_folds(_labelled(Logs(s, d))),
+        "negative_sample": lambda s, d: _sampled(Logs(s, d)),
         "shuffle_within_session": _shuffled,
         "candidates_with_features": _with_features,
-        "derive_targets": lambda s, d: rk.with_target_rows(_trained(_logs(s, d)), "target_buy").select(
+        "derive_targets": lambda s, d: rk.with_target_rows(_trained(Logs(s, d)), "target_buy").select(
             "session", "aid", "target_inter", "target_buy"
         ),
         "derive_targets_session": lambda s, d: rk.with_target_rows(
-            _trained(_logs(s, d)), "target_buy", session_level=True
+            _trained(Logs(s, d)), "target_buy", session_level=True
         ).select("session", "aid", "target_inter", "target_buy"),
         "fold_split": _fold_split,
         "pairwise_examples": _pairwise,
@@ -545,7 +547,7 @@ def queries() -> dict[str, Query]:
         "score_candidates": _score_candidates,
         "feature_importance": _importance,
         "model_roundtrip": _model_roundtrip,
-        "topk_lists": lambda s, d: ev.top_lists(_votes(_logs(s, d)), 20, VOTE).select(
+        "topk_lists": lambda s, d: ev.top_lists(_votes(Logs(s, d)), 20, VOTE).select(
             "session", _joined("y_pred")
         ),
         "recall_at_k": _recall,
