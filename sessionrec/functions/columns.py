@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sessionrec.sources.events import DAY, EVENT_GROUPS
+from sessionrec.sources.events import DAY
 
 # Scale of the pair weights and of the recency weights.
 HALF_LIFE_SECONDS = 3600.0
@@ -14,10 +14,6 @@ RECENCY_LENGTH = 17
 RECENCY_STEP = 0.05  # 1.0 down to 0.2 over 17 places
 
 
-def in_group(group: str, column: str = "type") -> Column:
-    return F.col(column).isin(list(EVENT_GROUPS[group]))
-
-
 def time_decay(a: Column, b: Column) -> Column:
     """Halves with every hour between two events."""
     return F.pow(F.lit(2.0), -F.abs(a - b) / HALF_LIFE_SECONDS)
@@ -41,15 +37,6 @@ def gap_damping(gap: Column) -> Column:
     return 1.0 / (1.0 + F.log1p(F.least(gap, F.lit(MAX_GAP_SECONDS)) / MAX_GAP_SECONDS))
 
 
-def hour(ts: Column) -> Column:
-    return F.hour(F.timestamp_seconds(ts))
-
-
-def day_of_week(ts: Column) -> Column:
-    """Monday = 0."""
-    return F.weekday(F.timestamp_seconds(ts))
-
-
 def standardize(value: Column, mean: Column, std: Column) -> Column:
     return F.try_divide(value - mean, std)
 

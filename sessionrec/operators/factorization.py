@@ -74,7 +74,10 @@ def user_item_weights(train: DataFrame, test: DataFrame, min_events: int = 20) -
 
 def als(ratings: DataFrame, user: str, item: str, rank: int, iterations: int, seed: int = 77):
     """Implicit-feedback ALS; factors and solves are distributed over blocks."""
+    blocks = max(10, ratings.sparkSession.sparkContext.defaultParallelism)
     return ALS(
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
         userCol=user,
         itemCol=item,
         ratingCol="rating",

@@ -8,30 +8,26 @@ from pyspark.sql import functions as F
 from sessionrec.functions import columns as C
 from sessionrec.functions.order import sliced_positions
 from sessionrec.operators.sessions import count_of, session_items
-from sessionrec.sources.events import DAY, EVENT_GROUPS, max_ts
+from sessionrec.sources.events import DAY, EVENT_GROUPS, is_type, max_ts
 
 # Trailing windows in days, conversions (name, from type, to type).
 WINDOWS = (3, 7, 14, 21)
 CONVERSIONS = (("click_to_cart", 0, 1), ("click_to_order", 0, 2), ("cart_to_order", 1, 2))
 
 
+def _aged(events: DataFrame) -> DataFrame:
+    """Events with their distance to the newest one, ``age`` in seconds."""
+    return events.select("aid", "type", (max_ts(events) - F.col("ts")).alias("age"))
+
+
 def _counts(events: DataFrame) -> DataFrame:
     """Counts of all windows and groups in one pass over the widest window."""
-    newest = max_ts(events)
-    age = newest - F.col("ts")
     counts = [
-        F.count(F.when((F.col("_age") <= d * DAY) & C.in_group(g), F.lit(1)))
-        .cast("int")
-        .alias(f"item_{g}_num_{d}d")
+        F.expr(f"int(count_if(age <= {d * DAY} AND {is_type(t)})) AS item_{g}_num_{d}d")
         for d in WINDOWS
-        for g in EVENT_GROUPS
+        for g, t in EVENT_GROUPS.items()
     ]
-    return (
-        events.filter(F.col("ts") >= newest - max(WINDOWS) * DAY)
-        .select("aid", "type", age.alias("_age"))
-        .groupBy("aid")
-        .agg(*counts)
-    )
+    return _aged(events).filter(f"age <= {max(WINDOWS) * DAY}").groupBy("aid").agg(*counts)
 
 
 def item_inter_num(events: DataFrame) -> DataFrame:
@@ -46,19 +42,16 @@ def item_inter_rank(events: DataFrame) -> DataFrame:
     so no single task sorts the catalogue.
     """
     rankings = [f"item_{g}_num_{d}d" for d in WINDOWS for g in EVENT_GROUPS]
-    long = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("ranking"), F.col(c).alias("n")) for c in rankings])
-    )
-    counted = (
-        _counts(events).select("aid", long.alias("_c")).select("aid", "_c.*").filter("n > 0")
-    )
+    long = ", ".join(f"struct('{c}' AS ranking, {c} AS n)" for c in rankings)
+    counted = _counts(events).selectExpr("aid", f"inline(array({long}))").filter("n > 0")
     placed = sliced_positions(
-        counted, ["ranking"], [F.col("n").desc(), F.col("aid").asc()], "_pos"
+        counted, ["ranking"], [F.col("n").desc(), F.col("aid").asc()], "place"
     )
     ranks = [
-        F.coalesce(F.max(F.when(F.col("ranking") == c, F.col("_pos") + 1)), F.lit(0))
-        .cast("int")
-        .alias(c.replace("_num_", "_rank_"))
+        F.expr(
+            f"int(coalesce(max(if(ranking = '{c}', place + 1, null)), 0))"
+            f" AS {c.replace('_num_', '_rank_')}"
+        )
         for c in rankings
     ]
     return placed.groupBy("aid").agg(*ranks)
@@ -96,10 +89,10 @@ def item_inter_ts_stats(events: DataFrame) -> DataFrame:
 def item_multi_inter_prob(events: DataFrame) -> DataFrame:
     """Share of the sessions with the item that touched it more than once, per group."""
     shares = [
-        F.coalesce(
-            F.avg(F.when(count_of(types) > 0, (count_of(types) > 1).cast("int"))), F.lit(-1.0)
-        ).alias(f"item_multi_{g}_prob")
-        for g, types in EVENT_GROUPS.items()
+        F.expr(
+            f"coalesce(avg(if({n} > 0, int({n} > 1), null)), -1D) AS item_multi_{g}_prob"
+        )
+        for g, n in ((g, count_of(types)) for g, types in EVENT_GROUPS.items())
     ]
     return session_items(events).groupBy("aid").agg(*shares)
 
@@ -110,31 +103,23 @@ def item_type_to_type_prob(events: DataFrame, recent: bool = False) -> DataFrame
     As published the events before the trailing windows count; ``recent`` counts
     those within them.
     """
-    age = max_ts(events) - F.col("ts")
 
     def inside(d):
-        return F.col("_age") <= d * DAY if recent else F.col("_age") > d * DAY
+        return f"age {'<=' if recent else '>'} {d * DAY}"
 
     widest = max(WINDOWS) if recent else min(WINDOWS)
     counts = [
-        F.count(F.when(inside(d) & (F.col("type") == t), F.lit(1))).alias(f"n{t}_{d}")
+        F.expr(f"count_if({inside(d)} AND type = {t}) AS n{t}_{d}")
         for d in WINDOWS
         for t in (0, 1, 2)
     ]
-    counted = (
-        events.select("aid", "type", age.alias("_age"))
-        .filter(inside(widest))
-        .groupBy("aid")
-        .agg(*counts)
-    )
     ratios = [
-        F.coalesce(F.try_divide(F.col(f"n{b}_{d}"), F.col(f"n{a}_{d}")), F.lit(-1.0)).alias(
-            f"item_{name}_prob_{d}d"
-        )
+        f"coalesce(try_divide(n{b}_{d}, n{a}_{d}), -1D) AS item_{name}_prob_{d}d"
         for d in WINDOWS
         for name, a, b in CONVERSIONS
     ]
-    return counted.select("aid", *ratios)
+    counted = _aged(events).filter(inside(widest)).groupBy("aid").agg(*counts)
+    return counted.selectExpr("aid", *ratios)
 
 
 def type_pivot(events: DataFrame) -> DataFrame:
@@ -149,10 +134,7 @@ def outer_joined_counts(events: DataFrame) -> DataFrame:
     """Counts per group joined outer on the item: the shape of chained window tables."""
     out = None
     for g, types in EVENT_GROUPS.items():
-        part = (
-            events.filter(F.col("type").isin(list(types)))
-            .groupBy("aid")
-            .agg(F.count(F.lit(1)).alias(f"item_{g}_num"))
-        )
+        counted = events.filter(is_type(types)).groupBy("aid").count()
+        part = counted.withColumnRenamed("count", f"item_{g}_num")
         out = part if out is None else out.join(part, "aid", "full_outer")
     return out.na.fill(0)

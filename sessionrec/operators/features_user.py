@@ -9,30 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionrec.functions import columns as C
 from sessionrec.functions.order import following, newest_first, oldest_first, positions
 from sessionrec.operators.features_item import ts_stats
-from sessionrec.sources.events import EVENT_GROUPS
+from sessionrec.sources.events import EVENT_GROUPS, is_type
 
 
 def by_group(events: DataFrame, groups: tuple[str, ...] = tuple(EVENT_GROUPS)) -> DataFrame:
     """Each event once per event group it belongs to, as column ``grp``."""
-    member = F.array_compact(F.array(*[F.when(C.in_group(g), F.lit(g)) for g in groups]))
-    return events.withColumn("grp", F.explode(member))
-
-
-def _when_group(group: str, value):
-    return F.when(F.col("grp") == group, value)
+    members = ", ".join(f"if({is_type(EVENT_GROUPS[g])}, '{g}', null)" for g in groups)
+    return events.selectExpr("*", f"explode(array_compact(array({members}))) AS grp")
 
 
 def user_inter_dow(events: DataFrame) -> DataFrame:
     """Day of week (Monday 0) of the newest and oldest event per group, -1 if none."""
     edges = [
-        F.coalesce(C.day_of_week(pick(F.when(C.in_group(g), F.col("ts")))), F.lit(-1))
-        .cast("tinyint")
-        .alias(f"user_{which}_{g}_dow")
-        for g in EVENT_GROUPS
-        for which, pick in (("first", F.max), ("last", F.min))
+        F.expr(
+            f"tinyint(coalesce(weekday(timestamp_seconds({pick}(if({is_type(t)}, ts, null)))), -1))"
+            f" AS user_{which}_{g}_dow"
+        )
+        for g, t in EVENT_GROUPS.items()
+        for which, pick in (("first", "max"), ("last", "min"))
     ]
     return events.groupBy("session").agg(*edges)
 
@@ -40,10 +36,8 @@ def user_inter_dow(events: DataFrame) -> DataFrame:
 def user_inter_num(events: DataFrame) -> DataFrame:
     """Events per group, -1 if none."""
     counts = [
-        F.coalesce(F.nullif(F.count(F.when(C.in_group(g), F.lit(1))), F.lit(0)), F.lit(-1))
-        .cast("int")
-        .alias(f"user_{g}_num")
-        for g in EVENT_GROUPS
+        F.expr(f"int(coalesce(nullif(count_if({is_type(t)}), 0), -1)) AS user_{g}_num")
+        for g, t in EVENT_GROUPS.items()
     ]
     return events.groupBy("session").agg(*counts)
 
@@ -57,13 +51,16 @@ def user_inter_ts_diff(events: DataFrame, hot: DataFrame | None = None) -> DataF
         ["ts"],
         1,
         hot,
-    ).withColumn("_gap", F.col("next_ts") - F.col("ts"))
+    )
     stats = [
-        F.coalesce(f(_when_group(g, F.col("_gap"))).cast("double"), F.lit(-1.0)).alias(
-            f"user_{g}_ts_diff_{s}"
+        F.expr(
+            f"coalesce(double({how}(if(grp = '{g}', next_ts - ts, null))), -1D)"
+            f" AS user_{g}_ts_diff_{name}"
         )
         for g in EVENT_GROUPS
-        for s, f in (("min", F.min), ("mean", F.avg), ("std", F.stddev_samp), ("max", F.max))
+        for name, how in (
+            ("min", "min"), ("mean", "avg"), ("std", "stddev_samp"), ("max", "max")
+        )
     ]
     # Sessions of a single event have no gap; they keep a row of -1.
     sessions = events.select("session").distinct()
@@ -77,14 +74,13 @@ def user_inter_ts_hour(events: DataFrame, by_type: bool = False) -> DataFrame:
     As published all groups hold the mean over all events; ``by_type`` keeps to the
     events of the group (-1 if none).
     """
+    hour = "hour(timestamp_seconds(ts))"
     hours = [
-        F.coalesce(
-            F.avg(F.when(C.in_group(g), C.hour(F.col("ts"))) if by_type else C.hour(F.col("ts"))),
-            F.lit(-1.0),
+        F.expr(
+            f"tinyint(coalesce(avg({f'if({is_type(t)}, {hour}, null)' if by_type else hour}), -1D))"
+            f" AS user_{g}_ts_hour_mean"
         )
-        .cast("tinyint")
-        .alias(f"user_{g}_ts_hour_mean")
-        for g in EVENT_GROUPS
+        for g, t in EVENT_GROUPS.items()
     ]
     return events.groupBy("session").agg(*hours)
 
@@ -98,17 +94,13 @@ def user_ts_diff(events: DataFrame) -> DataFrame:
     whole = events.agg(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi"))).scalar()
     ends = events.groupBy("session").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
 
-    def distance(a, b):
-        return F.abs(a - b).cast("int")
-
-    lo, hi = F.col("lo"), F.col("hi")
-    return ends.select(
+    return ends.withColumn("log", whole).selectExpr(
         "session",
-        distance(hi, lo).alias("user_ts_diff"),
-        distance(lo, whole["lo"]).alias("user_min_all_min_ts_diff"),
-        distance(hi, whole["lo"]).alias("user_max_all_min_ts_diff"),
-        distance(lo, whole["hi"]).alias("user_min_all_max_ts_diff"),
-        distance(hi, whole["hi"]).alias("user_max_all_max_ts_diff"),
+        "int(hi - lo) AS user_ts_diff",
+        "int(lo - log.lo) AS user_min_all_min_ts_diff",
+        "int(hi - log.lo) AS user_max_all_min_ts_diff",
+        "int(log.hi - lo) AS user_min_all_max_ts_diff",
+        "int(log.hi - hi) AS user_max_all_max_ts_diff",
     )
 
 
@@ -123,24 +115,24 @@ def user_item_first_inter_rank(
     """
     groups = tuple(EVENT_GROUPS) if by_type else ("inter", "buy")
     grouped = by_group(events, groups).select("session", "aid", "grp", "ts", "eid")
-    placed = positions(grouped, ["session", "grp"], newest_first(), "_pos", hot)
+    placed = positions(grouped, ["session", "grp"], newest_first(), "place", hot)
     ends = placed.groupBy("session", "aid", "grp").agg(
-        F.min("_pos").alias("_newest"), F.max("_pos").alias("_oldest")
+        F.min("place").alias("newest"), F.max("place").alias("oldest")
     )
-    sizes = grouped.groupBy("session", "grp").agg(F.count(F.lit(1)).alias("_n"))
-    ends = ends.join(sizes, ["session", "grp"])
-    from_oldest = F.col("_n") - 1 - F.col("_oldest")
+    sizes = grouped.groupBy("session", "grp").agg(F.count(F.lit(1)).alias("n"))
 
     def rank(which, g):
+        place = "newest" if which == "first" else "n - 1 - oldest"
         if g not in groups or (which == "last" and not by_type):
-            value = F.lit(-1)
+            value = "-1"
         else:
-            source = F.col("_newest") if which == "first" else from_oldest
-            value = F.coalesce(F.max(_when_group(g, source)), F.lit(-1))
-        return value.cast("int").alias(f"user_item_{which}_{g}_rank")
+            value = f"coalesce(max(if(grp = '{g}', {place}, null)), -1)"
+        return F.expr(f"int({value}) AS user_item_{which}_{g}_rank")
 
-    return ends.groupBy("session", "aid").agg(
-        *[rank(which, g) for which in ("first", "last") for g in EVENT_GROUPS]
+    return (
+        ends.join(sizes, ["session", "grp"])
+        .groupBy("session", "aid")
+        .agg(*[rank(which, g) for which in ("first", "last") for g in EVENT_GROUPS])
     )
 
 
@@ -150,27 +142,22 @@ def user_item_is_first_inter(events: DataFrame, all_pairs: bool = False) -> Data
     As published a session has one row, its newest item; ``all_pairs`` gives every
     item that is at some end.
     """
-    order = F.struct("ts", "eid", "aid")
-    ends = [(w, g) for g in EVENT_GROUPS for w in ("first", "last")]
-
-    def pick(which, g):
-        best = F.max if which == "first" else F.min
-        return best(F.when(C.in_group(g), order))["aid"].alias(f"{which}_{g}")
-
-    picked = events.groupBy("session").agg(*[pick(w, g) for w, g in ends])
-    if all_pairs:
-        items = F.explode(
-            F.array_distinct(F.array_compact(F.array(*[F.col(f"{w}_{g}") for w, g in ends])))
-        )
-    else:
-        items = F.col("first_inter")
-    return picked.withColumn("aid", items).select(
-        "session",
-        "aid",
+    ends = [(which, g) for g in EVENT_GROUPS for which in ("first", "last")]
+    picked = events.groupBy("session").agg(
         *[
-            F.coalesce((F.col(f"{w}_{g}") == F.col("aid")).cast("tinyint"), F.lit(0).cast("tinyint"))
-            .alias(f"user_item_is_{w}_{g}")
-            for g in EVENT_GROUPS
-            for w in ("first", "last")
-        ],
+            F.expr(
+                f"{'max' if which == 'first' else 'min'}"
+                f"(if({is_type(EVENT_GROUPS[g])}, struct(ts, eid, aid), null)).aid AS {which}_{g}"
+            )
+            for which, g in ends
+        ]
     )
+    items = "first_inter"
+    if all_pairs:
+        names = ", ".join(f"{which}_{g}" for which, g in ends)
+        items = f"explode(array_distinct(array_compact(array({names}))))"
+    flags = [
+        f"tinyint(coalesce({which}_{g} = aid, false)) AS user_item_is_{which}_{g}"
+        for which, g in ends
+    ]
+    return picked.selectExpr("*", f"{items} AS aid").selectExpr("session", "aid", *flags)

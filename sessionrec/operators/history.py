@@ -23,21 +23,13 @@ def history_candidates(events: DataFrame, group: str, hot: DataFrame | None = No
 
 def all_history_candidates(events: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """All five groups from one aggregation of the log."""
-    groups = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(f"last_{g}").alias("cg"),
-                    count_of(types).cast("float").alias("score"),
-                )
-                for g, types in EVENT_GROUPS.items()
-            ]
-        )
+    groups = ", ".join(
+        f"struct('last_{g}' AS cg, cast({count_of(types)} AS float) AS score)"
+        for g, types in EVENT_GROUPS.items()
     )
     long = (
         session_items(events)
-        .select("session", "aid", groups.alias("_c"))
-        .select("session", "aid", "_c.cg", "_c.score")
+        .selectExpr("session", "aid", f"inline(array({groups}))")
         .filter("score > 0")
     )
     return score_ranks(long, ["session", "cg"], hot=hot)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Word2Vec, Word2VecModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +28,15 @@ def fit_item2vec(
     window: int = 5,
     min_count: int = 1,
     seed: int = 77,
-    partitions: int = 1,
+    partitions: int | None = None,
 ) -> Word2VecModel:
     """Skip-gram vectors (hierarchical softmax).
 
-    The learner keeps catalogue x vector size floats per task; its size follows the
-    catalogue, not the log. ``partitions`` trains that many shards in parallel.
+    Every shard of the sentences is trained by its own task and the vectors are merged
+    after each iteration; by default there is a shard per core. A task keeps catalogue
+    x vector size floats, which follows the catalogue, not the log.
     """
+    shards = partitions or sentences.sparkSession.sparkContext.defaultParallelism
     return Word2Vec(
         vectorSize=vector_size,
         maxIter=iterations,
@@ -41,7 +44,7 @@ def fit_item2vec(
         windowSize=window,
         minCount=min_count,
         maxSentenceLength=SENTENCE_LENGTH,
-        numPartitions=partitions,
+        numPartitions=shards,
         seed=seed,
         inputCol="sentence",
         outputCol="vec",
@@ -50,8 +53,6 @@ def fit_item2vec(
 
 def item2vec_vectors(model: Word2VecModel) -> DataFrame:
     """aid, vec."""
-    from pyspark.ml.functions import vector_to_array
-
     return model.getVectors().select(
         F.col("word").cast("int").alias("aid"), vector_to_array("vector").alias("vec")
     )

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from sessionrec.functions import columns as C
 from sessionrec.functions.order import best_first, score_ranks, top_k
-from sessionrec.operators.sessions import TYPES, item_counts, session_items
-from sessionrec.sources.events import max_ts
+from sessionrec.operators.sessions import TYPES, count_of, item_counts, present, session_items
+from sessionrec.sources.events import is_type, max_ts
 from sessionrec.sources.stages import materialize
 
 # Neighbours kept per item, candidates kept per session.
@@ -126,26 +126,22 @@ def unordered_pairs(cells: DataFrame) -> DataFrame:
     """
     cell = ("session", "size", "_cell_a", "_cell_b")  # size depends on the session
     spread = cells.repartition(join_partitions(cells), *cell)
-    left, right = spread.alias("l"), spread.alias("r")
-    same_cell = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in cell]
-    one_block = (F.col("l._cell_a") == F.col("l._cell_b")) & (F.col("l.aid") <= F.col("r.aid"))
-    two_blocks = (F.col("l._block") < F.col("r._block"))
-    swap = F.col("l.aid") > F.col("r.aid")
-
-    def lower(c):
-        return F.when(swap, F.col(f"r.{c}")).otherwise(F.col(f"l.{c}"))
-
-    def upper(c):
-        return F.when(swap, F.col(f"l.{c}")).otherwise(F.col(f"r.{c}"))
-
-    joined = left.join(right, [*same_cell, one_block | two_blocks])
-    return joined.select(
-        F.col("l.size").alias("size"),
-        lower("aid").alias("a"),
-        upper("aid").alias("b"),
-        *[lower(f"t{t}").alias(f"a{t}") for t in TYPES],
-        *[upper(f"t{t}").alias(f"b{t}") for t in TYPES],
+    same_cell = " AND ".join(f"l.{c} = r.{c}" for c in cell)
+    joined = spread.alias("l").join(
+        spread.alias("r"),
+        F.expr(
+            f"{same_cell} AND ((l._cell_a = l._cell_b AND l.aid <= r.aid) OR l._block < r._block)"
+        ),
     )
+    ordered = [
+        column
+        for name, lower, upper in [("aid", "a", "b"), *[(f"t{t}", f"a{t}", f"b{t}") for t in TYPES]]
+        for column in (
+            f"if(l.aid <= r.aid, l.{name}, r.{name}) AS {lower}",
+            f"if(l.aid <= r.aid, r.{name}, l.{name}) AS {upper}",
+        )
+    ]
+    return joined.selectExpr("l.size AS size", *ordered)
 
 
 def _direction(rule: PairRule, source: str, target: str) -> str:
@@ -247,21 +243,13 @@ def pair_counts(events: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     items = materialize(session_items(events), "session-items")
     pairs = unordered_pairs(pair_cells(items, block_items))
 
-    def present(side):
-        return sum((F.col(f"{side}{t}").isNotNull().cast("int") for t in TYPES), F.lit(0))
-
     counted = pairs.groupBy("a", "b").agg(
-        F.sum(present("a") * present("b")).alias("pairs"),
-        F.count(F.lit(1)).alias("sessions"),
-    )
-    one = F.array(F.struct(F.col("a").alias("aid"), F.col("b").alias("aid_right")))
-    both = F.array(
-        F.struct(F.col("a").alias("aid"), F.col("b").alias("aid_right")),
-        F.struct(F.col("b").alias("aid"), F.col("a").alias("aid_right")),
+        F.expr(f"sum({present('a')} * {present('b')}) AS pairs"), F.count(F.lit(1)).alias("sessions")
     )
-    sides = F.when(F.col("a") == F.col("b"), one).otherwise(both)
-    return counted.select(F.explode(sides).alias("_p"), "pairs", "sessions").select(
-        "_p.aid", "_p.aid_right", "pairs", "sessions"
+    return counted.selectExpr(
+        "inline(array_distinct(array(struct(a AS aid, b AS aid_right), struct(b AS aid, a AS aid_right))))",
+        "pairs",
+        "sessions",
     )
 
 
@@ -297,15 +285,14 @@ def neighbour_scores(
     if "last" in aggregations:
         edges = [
             F.expr(
-                f"max(if(type IN ({', '.join(map(str, types))}), struct(ts, eid, aid), null)).aid"
-                f" AS last_{_key(types)}"
+                f"max(if({is_type(types)}, struct(ts, eid, aid), null)).aid AS last_{_key(types)}"
             )
             for types in dict.fromkeys(r.source for r in rules)
         ]
         items = items.join(events.groupBy("session").agg(*edges), "session")
         newest = "aid <=> last_{}"
     uses = ", ".join(
-        f"struct('{r.name}' AS rule, {' + '.join(f'n{t}' for t in r.source)} AS n, "
+        f"struct('{r.name}' AS rule, {count_of(r.source)} AS n, "
         f"{newest.format(_key(r.source))} AS newest)"
         for r in rules
     )

@@ -17,8 +17,8 @@ def session_items(events: DataFrame) -> DataFrame:
     item and type), laid out in columns: one partial aggregation, then at most one
     row per distinct item of a session, however often it was touched.
     """
-    latest = [F.max(F.when(F.col("type") == t, F.col("ts"))).alias(f"t{t}") for t in TYPES]
-    counts = [F.count(F.when(F.col("type") == t, F.lit(1))).alias(f"n{t}") for t in TYPES]
+    latest = [F.expr(f"max(if(type = {t}, ts, null)) AS t{t}") for t in TYPES]
+    counts = [F.expr(f"count_if(type = {t}) AS n{t}") for t in TYPES]
     return events.groupBy("session", "aid").agg(*latest, *counts)
 
 
@@ -27,15 +27,19 @@ def latest_per_type(events: DataFrame) -> DataFrame:
     return events.groupBy("session", "aid", "type").agg(F.max("ts").alias("ts"))
 
 
+def present(side: str) -> str:
+    """SQL number of event types a session item has, from its times."""
+    return "(" + " + ".join(f"int(isnotnull({side}{t}))" for t in TYPES) + ")"
+
+
 def item_counts(items: DataFrame) -> DataFrame:
     """Rows per item of the log without duplicates."""
-    present = sum((F.col(f"t{t}").isNotNull().cast("int") for t in TYPES), F.lit(0))
-    return items.groupBy("aid").agg(F.sum(present).alias("counts"))
+    return items.groupBy("aid").agg(F.expr(f"sum({present('t')}) AS counts"))
 
 
-def count_of(types: tuple[int, ...]):
-    """Number of events of the given types in a ``session_items`` row."""
-    return sum((F.col(f"n{t}") for t in types), F.lit(0))
+def count_of(types: tuple[int, ...]) -> str:
+    """SQL number of events of the given types in a ``session_items`` row."""
+    return "(" + " + ".join(f"n{t}" for t in types) + ")"
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

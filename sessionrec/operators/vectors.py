@@ -19,6 +19,7 @@ from sessionrec.functions.order import (
     score_ranks,
     top_k,
 )
+from sessionrec.sources.stages import materialize
 
 # Rows of one block; a cell of the search is one query block against one item block.
 ITEM_BLOCK = 100_000
@@ -79,7 +80,8 @@ def vector_topk(
 
     A blocked matrix product: both sides are hashed into blocks of bounded size, each
     query block meets each item block in its own task, and a task passes on k rows
-    per query. The final top k merges those. Nothing is broadcast.
+    per query. The final top k merges those. Nothing is broadcast. Both sides are
+    counted first, so give tables rather than long plans.
     """
     n_items, n_queries = items.count(), queries.count()
     item_blocks = max(1, ceil(n_items / item_block))
@@ -174,7 +176,8 @@ def embedding_candidates(
         near = vector_topk(wanted.withColumnRenamed("aid", "seed"), items, k, query="seed")
         scored = newest.join(near, "seed")
     elif seed == "seq":
-        scored = vector_topk(seq_query(events, items), items, k)
+        queries = materialize(seq_query(events, items), "queries")  # counted, then searched
+        scored = vector_topk(queries, items, k)
     else:
         raise ValueError(f"unknown seed {seed}")
     return as_candidates(scored, cg)

@@ -76,6 +76,11 @@ def load_labels(spark: SparkSession, path: str) -> DataFrame:
     return as_labels(spark.read.parquet(path))
 
 
+def is_type(types: tuple[int, ...]) -> str:
+    """SQL condition: the event has one of the types."""
+    return f"type IN ({', '.join(map(str, types))})"
+
+
 def empty_labels(spark: SparkSession) -> DataFrame:
     """Submission mode: no labels, schema kept."""
     return spark.createDataFrame([], LABEL_SCHEMA)
