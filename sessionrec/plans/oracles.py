@@ -559,10 +559,14 @@ def oracle_sql() -> dict[str, str]:
           CAST(row_number() OVER (PARTITION BY session ORDER BY score DESC, aid) AS INT) AS rank,
           CAST(rank() OVER (PARTITION BY session ORDER BY score DESC) AS INT) AS min_rank
           FROM (SELECT session, aid, count(*) AS score FROM basket GROUP BY session, aid)""",
-        "session_item_lists": """SELECT session, string_agg(aid, ',' ORDER BY ts, eid) AS aids
-          FROM basket GROUP BY session""",
-        "item_sentences": """SELECT session, CAST(0 AS INT) AS part,
-          string_agg(aid, ' ' ORDER BY ts, eid) AS sentence FROM tr GROUP BY session""",
+        "session_item_lists": """SELECT session, CAST(p // 1000 AS INT) AS part,
+          string_agg(aid, ',' ORDER BY p) AS aids FROM (
+            SELECT session, aid, row_number() OVER (PARTITION BY session ORDER BY ts, eid) - 1 AS p
+            FROM basket) GROUP BY ALL""",
+        "item_sentences": """SELECT session, CAST(p // 1000 AS INT) AS part,
+          string_agg(aid, ' ' ORDER BY p) AS sentence FROM (
+            SELECT session, aid, row_number() OVER (PARTITION BY session ORDER BY ts, eid) - 1 AS p
+            FROM tr) GROUP BY ALL""",
         "lag_pairs": "SELECT aid_idx, next_aid_idx, ts_diff FROM lags",
         "pair_coefs": f"SELECT aid_idx, next_aid_idx, ts_diff, {_rounded(['coef_x', 'coef_y'], 9)} FROM coefs",
         "user_item_weights": """SELECT session, aid, round(1e0 / ln(1e0 + n), 6) AS weight FROM eligible

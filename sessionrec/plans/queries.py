@@ -448,8 +448,7 @@ def _basket_counts(s, d):
 def _item_lists(s, d):
     basket = fx.basket_events(s, d)
     lists = item_lists(basket, hot=hot_groups(basket, ["session"]))
-    # Every session of this log fits one list, so part 0 is the whole session.
-    return lists.select("session", _joined("aids"))
+    return lists.select("session", "part", _joined("aids"))
 
 
 def _sample(s, d):
