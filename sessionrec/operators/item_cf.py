@@ -30,7 +30,7 @@ TOP_NEIGHBOURS = 300
 TOP_CANDIDATES = 300
 
 # Items per block of a long session; a pair of blocks is at most its square.
-BLOCK_ITEMS = 2000
+BLOCK_ITEMS = 1000
 
 
 @dataclass(frozen=True)
@@ -296,7 +296,12 @@ def neighbour_scores(
         f"{newest.format(_key(r.source))} AS newest)"
         for r in rules
     )
-    used = items.selectExpr("session", "aid", f"inline(array({uses}))").filter("n > 0")
+    # Each row meets hundreds of neighbours: spread the few rows over all cores first.
+    used = (
+        items.repartition(join_partitions(items), "session", "aid")
+        .selectExpr("session", "aid", f"inline(array({uses}))")
+        .filter("n > 0")
+    )
     joined = used.join(pairs.withColumn("w", F.col("weight").cast("double")), ["rule", "aid"])
     scored = joined.groupBy("session", "rule", F.col("aid_right").alias("aid")).agg(
         *[F.expr(f"{_AGGREGATES[a]} AS {a}") for a in aggregations]

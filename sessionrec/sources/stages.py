@@ -9,20 +9,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="sessionrec-checkpoint-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder."""
+    """The session's shared checkpoint folder; a temporary one only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="sessionrec-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return _local_dir(spark.sparkContext.applicationId)
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
