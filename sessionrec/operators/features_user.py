@@ -20,11 +20,16 @@ def by_group(events: DataFrame, groups: tuple[str, ...] = tuple(EVENT_GROUPS)) -
     return events.selectExpr("*", f"explode(array_compact(array({members}))) AS grp")
 
 
+def _day(ts: str) -> str:
+    """SQL date of epoch seconds in UTC, whatever the session's time zone."""
+    return f"date_from_unix_date(int(floor({ts} / 86400)))"
+
+
 def user_inter_dow(events: DataFrame) -> DataFrame:
     """Day of week (Monday 0) of the newest and oldest event per group, -1 if none."""
     edges = [
         F.expr(
-            f"tinyint(coalesce(weekday(timestamp_seconds({pick}(if({is_type(t)}, ts, null)))), -1))"
+            f"tinyint(coalesce(weekday({_day(f'{pick}(if({is_type(t)}, ts, null))')}), -1))"
             f" AS user_{which}_{g}_dow"
         )
         for g, t in EVENT_GROUPS.items()
@@ -74,7 +79,7 @@ def user_inter_ts_hour(events: DataFrame, by_type: bool = False) -> DataFrame:
     As published all groups hold the mean over all events; ``by_type`` keeps to the
     events of the group (-1 if none).
     """
-    hour = "hour(timestamp_seconds(ts))"
+    hour = "pmod(ts, 86400) div 3600"  # UTC
     hours = [
         F.expr(
             f"tinyint(coalesce(avg({f'if({is_type(t)}, {hour}, null)' if by_type else hour}), -1D))"
