@@ -152,7 +152,8 @@ def initial_vectors(ids: DataFrame, column: str, factors: int, seed: int) -> Dat
 def _batch_gradients(count: int, seed: int) -> Callable:
     """Gradient sums of one Arrow batch; negatives are the batch's own items permuted.
 
-    A retried task may pair other negatives, every pairing is a valid draw.
+    A retried task may pair other negatives, every pairing is a valid draw. Workers
+    need numpy and pandas but not this package.
     """
 
     def total(side: str, ids: np.ndarray, gradients: np.ndarray) -> pd.DataFrame:

@@ -29,22 +29,24 @@ QUERY_BLOCK = 200_000
 _CHUNK_CELLS = 4_000_000
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(norms == 0.0, 1.0, norms)
+def _cell_search(query: str, item: str, k: int) -> Callable:
+    """Top k items of each query of one cell by cosine, ties by item id.
 
+    Self-contained, so that workers need numpy and pandas but not this package.
+    """
 
-def _cell_search(query: str, item: str, k: int) -> Callable:
-    """Top k items of each query of one cell by cosine, ties by item id."""
+    def unit(vectors: pd.Series) -> np.ndarray:
+        matrix = np.stack(vectors.to_numpy()).astype(np.float64)
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        return matrix / np.where(norms == 0.0, 1.0, norms)
 
     def search(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({query: [], item: [], "score": []})
         if queries.empty or items.empty:
             return empty
         items = items.sort_values(item)
-        ids, base = items[item].to_numpy(), _unit(items["_item_vec"])
-        keys, wanted = queries[query].to_numpy(), _unit(queries["_query_vec"])
+        ids, base = items[item].to_numpy(), unit(items["_item_vec"])
+        keys, wanted = queries[query].to_numpy(), unit(queries["_query_vec"])
         take = min(k, len(ids))
         step = max(1, _CHUNK_CELLS // len(ids))
         parts = []

@@ -1,5 +1,9 @@
+import subprocess
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sessionrec.operators import factorization as fz
@@ -74,3 +78,10 @@ def test_als_vectors_cover_all_items(train):
     coefs = fz.pair_coefs(fz.lag_pairs(train, ids), train, ids)
     vectors = fz.item_factors(coefs, ids, rank=4, iterations=2)
     assert vectors.count() == ids.count()
+
+
+@pytest.mark.parametrize("task", [vx._cell_search("q", "aid", 5), fz._batch_gradients(10, 1)])
+def test_task_functions_load_without_the_package(task):
+    data = cloudpickle.dumps(task).hex()
+    load = "import pickle, sys; pickle.loads(bytes.fromhex(sys.argv[1]))"
+    subprocess.run([sys.executable, "-I", "-c", load, data], check=True, cwd="/")
