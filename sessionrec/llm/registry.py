@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionrec.llm import exact_dedup, ring_sharding
+from sessionrec.llm import decontamination, exact_dedup, ring_sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_ring_sharding": ring_sharding.op3_ring_sharding,
+        "op6_simhash": simhash.op6_simhash,
+        "op9_decontamination": decontamination.op9_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE,
+        "op9_decontamination": decontamination.ORACLE,
+    }
