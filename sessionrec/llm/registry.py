@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionrec.llm import decontamination, exact_dedup, ring_sharding, simhash
+from sessionrec.llm import decontamination, exact_dedup, packing, ring_sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_ring_sharding": ring_sharding.op3_ring_sharding,
         "op6_simhash": simhash.op6_simhash,
+        "op7_packing": packing.op7_packing,
         "op9_decontamination": decontamination.op9_decontamination,
     }
 
