@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionrec.llm import decontamination, exact_dedup, packing, ring_sharding, simhash
+from sessionrec.llm import decontamination, exact_dedup, language_id, packing, ring_sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_ring_sharding": ring_sharding.op3_ring_sharding,
+        "op5_language_id": language_id.op5_language_id,
         "op6_simhash": simhash.op6_simhash,
         "op7_packing": packing.op7_packing,
         "op9_decontamination": decontamination.op9_decontamination,
