@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionrec.llm import decontamination, exact_dedup, language_id, packing, ring_sharding, simhash
+from sessionrec.llm import decontamination, exact_dedup, language_id, license_scan, packing, ring_sharding, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_secret_scan": secret_scan.op2_secret_scan,
         "op3_ring_sharding": ring_sharding.op3_ring_sharding,
+        "op4_license_scan": license_scan.op4_license_scan,
         "op5_language_id": language_id.op5_language_id,
         "op6_simhash": simhash.op6_simhash,
         "op7_packing": packing.op7_packing,
