@@ -241,11 +241,12 @@ def decontaminate(
     slop: int = 0,
     segment_words: int = SEGMENT_WORDS,
     block_words: int = BLOCK_WORDS,
+    id_col: str = "doc_id",
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, row of each document."""
     parts = blocks(benchmark, block_words)
     block, following = next(parts), next(parts, None)
-    rows = texts(docs)
+    rows = texts(docs, id_col)
     if following is None:
         rows = rows.withColumn("_row", F.monotonically_increasing_id())
     else:  # rows of several passes meet by number, so number them once

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionrec.llm import decontamination, exact_dedup, language_id, license_scan, packing, ring_sharding, secret_scan, simhash
+from sessionrec.llm import decontamination, exact_dedup, language_id, license_scan, line_dedup, packing, ring_sharding, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": simhash.op6_simhash,
         "op7_packing": packing.op7_packing,
         "op9_decontamination": decontamination.op9_decontamination,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 

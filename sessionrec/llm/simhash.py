@@ -66,7 +66,7 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc_id") -> DataFrame:
     """doc_id, fp (bigint) of every document."""
 
     def run(batches):
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                 [batch["doc_id"], pa.array(values, pa.int64())], ["doc_id", "fp"]
             )
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, id_col).mapInArrow(run, "doc_id long, fp long")
 
 
 def segment_masks(segments: int) -> list[int]:
@@ -161,9 +161,10 @@ def simhash_components(
     distance: int = DISTANCE,
     segments: int = SEGMENTS,
     paired: int = PAIRED,
+    id_col: str = "doc_id",
 ) -> DataFrame:
-    """doc_id, fp, component_id of every document."""
-    table = materialize(fingerprints(docs, words), "fingerprints")
+    """doc_id, fp, component_id of every document; ``id_col`` gives the ids."""
+    table = materialize(fingerprints(docs, words, id_col), "fingerprints")
     nodes = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     found = components(links(nodes, distance, segments, paired))
     named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
