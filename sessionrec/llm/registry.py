@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionrec.llm import decontamination, exact_dedup, language_id, license_scan, line_dedup, packing, ring_sharding, secret_scan, simhash
+from sessionrec.llm import (
+    decontamination,
+    exact_dedup,
+    language_id,
+    license_scan,
+    line_dedup,
+    packing,
+    ring_sharding,
+    secret_scan,
+    simhash,
+    token_files,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": language_id.op5_language_id,
         "op6_simhash": simhash.op6_simhash,
         "op7_packing": packing.op7_packing,
+        "op8_token_files": token_files.op8_token_files,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
