@@ -138,16 +138,22 @@ def search(index: DataFrame, phrases: list[tuple[list[int], str]], frequency: np
     place = {item: i for i, item in enumerate(owners)}
     owner = np.array([place[item] for _, item in phrases], np.int64)
 
+    # Documents stand so far apart that no term is near one of another document.
+    gap = 2 * slop + (slop > 0)
+
     def places(row):
-        """(phrase, start) of all matches in a segment."""
+        """(document ends, phrase, document, start in the segment) of all matches."""
         ends = np.asarray(row["doc_ends"], np.int64)
+        begins = np.concatenate([[0], ends[:-1]])
         held = np.asarray(row["terms"], np.int64)
         stops = np.asarray(row["ends"], np.int64)
-        positions = np.asarray(row["positions"], np.int64)
+        none = np.zeros(0, np.int64)
         if not len(held) or not len(phrases):
-            return ends, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return ends, none, none, none
+        positions = np.asarray(row["positions"], np.int64)
+        positions = positions + gap * np.searchsorted(ends, positions, side="right")
         counts = np.diff(stops, prepend=0)
-        wide = int(ends[-1]) + longest + 2 * slop + 2
+        wide = int(ends[-1]) + gap * len(ends) + longest + 2 * slop + 2
         keys = np.repeat(held, counts) * wide + positions + slop
         # Rarest terms first: all places of each phrase's rarest term.
         slot = np.searchsorted(held, terms[:, 0])
@@ -157,27 +163,28 @@ def search(index: DataFrame, phrases: list[tuple[list[int], str]], frequency: np
         first = np.repeat(stops[slot[phrase]] - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         phrase = np.repeat(phrase, n)
         start = positions[first] - offsets[phrase, 0]
+        if slop:
+            phrase, start = np.repeat(phrase, 2 * slop + 1), (start[:, None] + np.arange(-slop, slop + 1)).ravel()
+            phrase, start = np.unique(np.stack([phrase, start]), axis=1)
         inside = start >= 0
         phrase, start = phrase[inside], start[inside]
         for k in range(1, longest):
-            want, target = terms[phrase, k], start + offsets[phrase, k]
-            low = want * wide + target  # slop words before the term's own place
+            want = terms[phrase, k]
+            low = want * wide + start + offsets[phrase, k]  # slop words before the term's own place
             at = np.searchsorted(keys, low)
             ok = (want < 0) | ((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] <= low + 2 * slop))
             phrase, start = phrase[ok], start[ok]
-        # A match must not reach over the end of its document.
-        doc = np.searchsorted(ends, start, side="right")
-        ok = doc < len(ends)
-        phrase, start, doc = phrase[ok], start[ok], doc[ok]
+        # A match must not reach over the ends of its document.
+        doc = np.searchsorted(begins + gap * np.arange(len(ends)), start, side="right") - 1
+        start = start - gap * doc
         ok = start + lengths[phrase] <= ends[doc]
-        return ends, phrase[ok], start[ok]
+        return ends, phrase[ok], doc[ok], start[ok]
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ends, phrase, start = places(row)
+                ends, phrase, doc, start = places(row)
                 begins = np.concatenate([[0], ends[:-1]])
-                doc = np.searchsorted(ends, start, side="right")
                 order = np.lexsort((lengths[phrase], start))
                 phrase, start, doc = phrase[order], start[order], doc[order]
                 bound = np.searchsorted(doc, np.arange(len(ends) + 1))
