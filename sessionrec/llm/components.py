@@ -1,8 +1,9 @@
 """Connected components by distributed union-find: local forests, then star contraction.
 
-Each partition first joins its own links by union-find and sends one link per node. Then
-large stars and small stars alternate until every node points at the smallest node of its
-component. Node labels only get smaller and each step is written to the shared folder, so
+Each task first joins up to ``FOREST`` links by union-find and passes on one link per node;
+a second time over tasks of ``TASK`` links each, so the number of tasks grows with the links.
+Then large stars and small stars alternate until every node points at the smallest node of
+its component. Node labels only get smaller and each step is written to the shared folder, so
 a lost executor repeats one step. No task holds a component: the smallest neighbour of a
 node is a partial aggregate, and it meets the node's links in a join of two plain tables,
 which adaptive execution splits when one node has very many links.
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from sessionrec.sources.stages import materialize
 
+FOREST = 200_000  # links that a task holds at a time
+TASK = 50_000
+
 
 def forest(pairs) -> dict[int, int]:
     """Node -> smallest node, for the links given."""
@@ -38,12 +42,25 @@ def forest(pairs) -> dict[int, int]:
 
 
 def _local(batches):
-    for batch in batches:
-        found = forest(zip(batch["a"].to_pylist(), batch["b"].to_pylist()))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out():
+        found = forest(zip(*(np.concatenate(side).tolist() for side in zip(*held))))
         nodes = np.fromiter(found.keys(), np.int64, len(found))
         roots = np.fromiter(found.values(), np.int64, len(found))
         moved = nodes != roots
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(roots[moved])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(roots[moved])], ["a", "b"])
+
+    size = 0
+    for batch in batches:
+        held.append((batch["a"].to_numpy(), batch["b"].to_numpy()))
+        size += batch.num_rows
+        if size >= FOREST:
+            yield out()
+            held.clear()
+            size = 0
+    if held:
+        yield out()
 
 
 def _smallest(links: DataFrame) -> DataFrame:
@@ -87,7 +104,9 @@ def components(links: DataFrame) -> DataFrame:
     Repeated links, links both ways and links of a node with itself are allowed.
     """
     pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
-    links = materialize(pairs.mapInArrow(_local, "a long, b long").distinct(), "links")
+    links = materialize(pairs.mapInArrow(_local, "a long, b long"), "forests")
+    tasks = -(-links.count() // TASK)
+    links = materialize(links.coalesce(max(1, tasks)).mapInArrow(_local, "a long, b long").distinct(), "links")
     while not _done(links):
         links = materialize(small_star(materialize(large_star(links), "large-star")), "small-star")
     roots = links.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
