@@ -9,6 +9,8 @@ shifted by the sizes of the slices before, so that no task holds a whole group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,7 @@ def hot_groups(
 ) -> DataFrame | None:
     """Keys of groups with more than ``max_rows`` rows, or None when there are none.
 
-    At most rows / max_rows keys can qualify, which bounds what is broadcast.
-    Counting is partially aggregated, so a hot key costs nothing extra here.
+    At most rows / max_rows keys can qualify. Counting is partially aggregated, so a hot key costs nothing extra here.
     """
     hot = df.groupBy(*keys).count().filter(F.col("count") > max_rows).select(*keys)
     return None if hot.isEmpty() else materialize(hot, "hot")
@@ -32,8 +33,14 @@ def hot_groups(
 
 def _split(df: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = hot.columns
-    small = F.broadcast(hot)
-    return df.join(small, keys, "left_anti"), df.join(small, keys, "left_semi")
+    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, where null equals null; ``right`` gives its other columns."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(named, same).drop(*[f"_right_{k}" for k in keys])
 
 
 def _sliced(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
@@ -59,7 +66,7 @@ def _sliced(df: DataFrame, keys: list[str], order: list[Column], out: str) -> Da
     numbered = slices.withColumn("_in", F.row_number().over(inside) - 1)
     # One offset per group and slice: joined by both, which spreads a hot group.
     return (
-        numbered.join(offsets, [*keys, "_slice"])
+        _join_null_safe(numbered, offsets, [*keys, "_slice"])
         .withColumn(out, F.col("_before") + F.col("_in"))
         .drop("_slice", "_before", "_in")
     )
@@ -193,7 +200,8 @@ def score_ranks(
     cold_rows, hot_rows = _split(df, hot)
     placed = materialize(_sliced(hot_rows, keys, best_first(score, item), "_pos"), "ranked")
     best = placed.groupBy(*keys, score).agg((F.min("_pos") + 1).cast("int").alias(min_rank))
-    ranked = placed.join(best, [*keys, score]).withColumn(
+    # Rows without a score rank last, as by the window, and tie with each other.
+    ranked = _join_null_safe(placed, best, [*keys, score]).withColumn(
         rank, (F.col("_pos") + 1).cast("int")
     )
     return by_window(cold_rows).unionByName(ranked.drop("_pos"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 
 from sessionrec.operators.features_item import CONVERSIONS, WINDOWS
-from sessionrec.operators.item_cf import RULES, PairRule
+from sessionrec.operators.item_cf import MERGED_AGGREGATIONS, RULES, PairRule
+from sessionrec.operators.merge import ALL_GENERATORS, ITEM2VEC, ITEM_MF, USER_MF
 from sessionrec.sources.events import EVENT_GROUPS
 
 SPLIT = 1706054400  # 2024-01-24, the split of the fixtures
@@ -145,41 +146,47 @@ for _i, _rule in enumerate(RULES, 1):
   SELECT *, {_RANKS.replace('score DESC', 'score DESC NULLS LAST')} FROM a_r{_i}_{_agg}
   QUALIFY row_number() OVER (PARTITION BY session ORDER BY score DESC NULLS LAST, aid) <= 300"""
 
-BASE_RULE = RULES[0]
-BASE = [f"last_{g}" for g in EVENT_GROUPS] + [f"{BASE_RULE.name}_{a}" for a in ("sum", "last", "count")]
-TOPS = {name: 20 if name.startswith("last_") else 40 for name in BASE}
-VOTES = {name: 2.0 if name.startswith("last_") else 0.7 for name in BASE}
+GENERATORS = [g.name for g in ALL_GENERATORS]
+TOPS = {g.name: g.top for g in ALL_GENERATORS}
+VOTES = {g.name: g.weight for g in ALL_GENERATORS}
+TINY = [f"{r.name}_{a}" for r in RULES if r.trend for a in ("sum", "last")]
+# The generators of fitted vectors use the given embeddings.
+FITTED = {g.name: "last" if g.name.endswith("last") else "seq" for g in (*ITEM_MF, *USER_MF, *ITEM2VEC)}
 
 CTES["hist"] = f"SELECT *, {_RANKS} FROM (" + " UNION ALL ".join(
     f"SELECT * FROM h_{g}" for g in EVENT_GROUPS
 ) + ")"
-CTES["cand"] = "SELECT * FROM hist UNION ALL " + " UNION ALL ".join(
-    f"SELECT * FROM c_r1_{a}" for a in ("sum", "last", "count")
+CTES["cand"] = " UNION ALL ".join(
+    [
+        "SELECT * FROM hist",
+        *[f"SELECT * FROM c_r{i}_{a}" for i in range(1, len(RULES) + 1) for a in MERGED_AGGREGATIONS],
+        *[f"SELECT session, aid, '{g}' AS cg, score, rank, min_rank FROM e_{seed}" for g, seed in FITTED.items()],
+    ]
 )
 CTES["heads"] = "SELECT DISTINCT session, aid FROM cand WHERE " + " OR ".join(
-    f"(cg = '{g}' AND rank <= {TOPS[g]})" for g in BASE
+    f"(cg = '{g}' AND rank <= {TOPS[g]})" for g in GENERATORS
 )
 
 
 def _wide() -> str:
     columns = ["h.session", "h.aid"]
-    joins = []
-    for i, g in enumerate(BASE):
-        joins.append(
-            f"LEFT JOIN cand x{i} ON x{i}.cg = '{g}' AND x{i}.session = h.session AND x{i}.aid = h.aid"
-        )
+    for g in GENERATORS:
+        where = f"FILTER (WHERE c.cg = '{g}')"
         columns += [
-            f"CAST(coalesce(x{i}.rank <= {TOPS[g]}, FALSE) AS TINYINT) AS {g}_score_selected",
-            f"coalesce(x{i}.score, CAST(-1 AS FLOAT)) AS {g}_score",
-            f"coalesce(x{i}.rank, -1) AS {g}_score_rank",
-            f"coalesce(x{i}.min_rank, -1) AS {g}_score_min_rank",
+            f"CAST(coalesce(max(c.rank) {where} <= {TOPS[g]}, FALSE) AS TINYINT) AS {g}_score_selected",
+            f"coalesce(max(c.score) {where}, CAST(-1 AS FLOAT)) AS {g}_score",
+            f"coalesce(max(c.rank) {where}, -1) AS {g}_score_rank",
+            f"coalesce(max(c.min_rank) {where}, -1) AS {g}_score_min_rank",
         ]
-    return f"SELECT {', '.join(columns)} FROM heads h {' '.join(joins)}"
+    return (
+        f"SELECT {', '.join(columns)} FROM heads h JOIN cand c ON c.session = h.session AND c.aid = h.aid "
+        "GROUP BY h.session, h.aid"
+    )
 
 
 CTES["wide"] = _wide()
-_weighted = " + ".join(f"{g}_score_selected * CAST({VOTES[g]} AS DOUBLE)" for g in BASE)
-_number = " + ".join(f"CAST({g}_score_selected AS INT)" for g in BASE)
+_weighted = " + ".join(f"{g}_score_selected * CAST({VOTES[g]} AS DOUBLE)" for g in GENERATORS)
+_number = " + ".join(f"CAST({g}_score_selected AS INT)" for g in GENERATORS)
 CTES["votes"] = f"""
   SELECT *, CAST(row_number() OVER (PARTITION BY session ORDER BY cand_feature_selected_score DESC, aid) AS INT)
            AS cand_feature_selected_rank,
@@ -397,10 +404,15 @@ def _search(queries: str, key: str, k: int) -> str:
   QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY score DESC, aid) <= {k}"""
 
 
-def _embedding_candidates(queries: str, cg: str) -> str:
-    return f"""SELECT session, aid, '{cg}' AS cg, round(CAST(score AS DOUBLE), 6) AS score, rank, min_rank
-  FROM (SELECT session, aid, score, {_RANKS.replace('session, cg', 'session')}
-        FROM (SELECT session, aid, CAST(score AS FLOAT) AS score FROM ({_search(queries, 'session', 300)})))"""
+for _seed in ("last", "seq"):
+    CTES[f"e_{_seed}"] = f"""SELECT session, aid, score, {_RANKS.replace('session, cg', 'session')}
+  FROM (SELECT session, aid, CAST(score AS FLOAT) AS score FROM ({_search(f'q_{_seed}', 'session', 300)}))"""
+
+
+def _embedding_candidates(seed: str, cg: str) -> str:
+    return (
+        f"SELECT session, aid, '{cg}' AS cg, round(CAST(score AS DOUBLE), 6) AS score, rank, min_rank FROM e_{seed}"
+    )
 
 
 # --- lag pairs ----------------------------------------------------------------
@@ -478,8 +490,18 @@ _PROBS = [f"item_{n}_prob_{d}d" for d in WINDOWS for n, _, _ in CONVERSIONS]
 _MULTI = [f"item_multi_{g}_prob" for g in EVENT_GROUPS]
 _ITEM_TS = [f"item_inter_ts_{s}" for s in ("mean", "min", "max", "std")]
 _USER_TS = [f"user_inter_ts_{s}" for s in ("mean", "min", "max", "std")]
-_SCORES = [f"{g}_score" for g in BASE]
-_KEPT = [c for g in BASE for c in (f"{g}_score_selected", f"{g}_score_rank", f"{g}_score_min_rank")]
+
+
+def _shown(generator: str) -> str:
+    """A score as shown: tiny ones in millionths, -1 where there is none."""
+    column = f"{generator}_score"
+    value = f"CAST({column} AS DOUBLE)"
+    if generator in TINY:
+        value = f"CASE WHEN {column} >= 0 THEN {value} * 1e6 ELSE -1e0 END"
+    return f"round({value}, 6) AS {column}"
+
+
+_KEPT = [c for g in GENERATORS for c in (f"{g}_score_selected", f"{g}_score_rank", f"{g}_score_min_rank")]
 _FEATURES_INT = [
     *[f"item_{g}_{k}_{d}d" for k in ("num", "rank") for d in WINDOWS for g in EVENT_GROUPS],
     *[f"user_item_{w}_{g}_rank" for w in ("first", "last") for g in EVENT_GROUPS],
@@ -589,10 +611,10 @@ def oracle_sql() -> dict[str, str]:
         "query_vec_last": """SELECT session, CAST(dim - 1 AS INT) AS dim, round(vec[dim], 6) AS value
           FROM q_last, (SELECT unnest(range(1, 65)) AS dim)""",
         "query_vec_seq": "SELECT session, CAST(dim - 1 AS INT) AS dim, round(value, 6) AS value FROM q_seq_values",
-        "cand_embedding_last": _embedding_candidates("q_last", "embedding_last"),
-        "cand_embedding_seq": _embedding_candidates("q_seq", "embedding_seq"),
+        "cand_embedding_last": _embedding_candidates("last", "embedding_last"),
+        "cand_embedding_seq": _embedding_candidates("seq", "embedding_seq"),
         "merge_candidates": "SELECT session, aid FROM heads",
-        "candidate_scores_wide": f"SELECT session, aid, {', '.join(_KEPT)}, {_rounded(_SCORES)} FROM wide",
+        "candidate_scores_wide": f"SELECT session, aid, {', '.join(_KEPT)}, {', '.join(map(_shown, GENERATORS))} FROM wide",
         "candidate_votes": f"""SELECT session, aid, cand_feature_selected_num,
           {_rounded(['cand_feature_selected_score'])}, cand_feature_selected_rank,
           cand_feature_selected_min_rank FROM votes""",
@@ -614,6 +636,17 @@ def oracle_sql() -> dict[str, str]:
           FROM (SELECT * FROM ranked_click WHERE target_click = 1) p
           JOIN (SELECT * FROM ranked_click WHERE target_click = 0) n USING (session)""",
         "candidates_with_features": _features(),
+        "model_roundtrip": "SELECT session, aid, TRUE AS same FROM labelled",
+        "score_candidates": """SELECT session, aid, 'pairwise' AS model, 'target_buy' AS target, fold,
+          TRUE AS finite FROM folded""",
+        "feature_importance": " UNION ALL ".join(
+            f"SELECT '{name}' AS feature, 3e0 AS total"
+            for name in (
+                "cand_feature_selected_num",
+                "cand_feature_selected_score",
+                *[f"{g}_{c}" for g in GENERATORS for c in ("score", "score_rank")],
+            )
+        ),
         "topk_lists": """SELECT session, string_agg(aid, ',' ORDER BY cand_feature_selected_rank) AS y_pred
           FROM votes WHERE cand_feature_selected_rank <= 20 GROUP BY session""",
         "ndcg_at_20": _ndcg(),

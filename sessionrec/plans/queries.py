@@ -40,17 +40,15 @@ from sessionrec.sources import stages as st
 Query = Callable[[SparkSession, str], DataFrame]
 
 BASE_RULE = cf.RULES[0]
-BASE_GENERATORS = tuple(
-    g
-    for g in (*mg.HISTORY, *mg.ITEM_CF)
-    if g.name.startswith("last_") or g.name.startswith(BASE_RULE.name + "_")
-)
+GENERATORS = mg.ALL_GENERATORS
 VOTE = "cand_feature_selected_score"
 RANK_FEATURES = [
     "cand_feature_selected_num",
     VOTE,
-    *[f"{g.name}_{c}" for g in BASE_GENERATORS for c in ("score", "score_rank")],
+    *[f"{g.name}_{c}" for g in GENERATORS for c in ("score", "score_rank")],
 ]
+# Scores with a trend term are tiny: shown in millionths.
+TINY = [f"{r.name}_{a}" for r in cf.RULES if r.trend for a in ("sum", "last")]
 
 
 def _train(s, d):
@@ -86,19 +84,19 @@ class Logs:
     """The logs of a query that reads them many times: each written once, when used."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._at = (spark, sf_dir)
+        self.at = (spark, sf_dir)
 
     @cached_property
     def train(self) -> DataFrame:
-        return st.materialize(_train(*self._at), "train")
+        return st.materialize(_train(*self.at), "train")
 
     @cached_property
     def test(self) -> DataFrame:
-        return st.materialize(_test(*self._at), "test")
+        return st.materialize(_test(*self.at), "test")
 
     @cached_property
     def labels(self) -> DataFrame:
-        return st.materialize(_labels(*self._at), "labels")
+        return st.materialize(_labels(*self.at), "labels")
 
 
 # --- candidates ---------------------------------------------------------------
@@ -147,21 +145,29 @@ def _cf_scores(agg: str) -> Query:
 def _cf_all(s, d):
     pairs = st.materialize(_pairs(s, d, *cf.RULES), "pairs")
     found = cf.item_cf_candidates(_test(s, d), pairs)
-    tiny = [f"{r.name}_{a}" for r in cf.RULES if r.trend for a in ("sum", "last")]
-    scale = F.when(F.col("cg").isin(tiny), 1e6).otherwise(1.0)
+    scale = F.when(F.col("cg").isin(TINY), 1e6).otherwise(1.0)
     return found.withColumn("score", F.round(F.col("score").cast("double") * scale, 6))
 
 
 def _candidates(logs: Logs) -> DataFrame:
-    """History and item-CF candidates in one long table."""
+    """Candidates of all 37 generators in one long table.
+
+    The five generators of fitted vectors use the given embeddings, so that the whole
+    merge is repeatable and can be checked by SQL.
+    """
     history = all_history_candidates(logs.test, hot_sessions(logs.test))
-    pairs = st.materialize(cf.item_pairs(logs.train, (BASE_RULE,)), "pairs")
-    neighbours = cf.item_cf_candidates(logs.test, pairs, (BASE_RULE,))
-    return history.unionByName(neighbours)
+    pairs = st.materialize(cf.item_pairs(logs.train, cf.RULES), "pairs")
+    found = history.unionByName(cf.item_cf_candidates(logs.test, pairs))
+    items = fx.item_embeddings(*logs.at)
+    near = {seed: vx.embedding_candidates(logs.test, items, seed, seed) for seed in ("last", "seq")}
+    for generator in (*mg.ITEM_MF, *mg.USER_MF, *mg.ITEM2VEC):
+        rows = near["last" if generator.name.endswith("last") else "seq"]
+        found = found.unionByName(rows.withColumn("cg", F.lit(generator.name)))
+    return found
 
 
 def _heads(logs: Logs) -> DataFrame:
-    return mg.selected_pairs(_candidates(logs), BASE_GENERATORS)
+    return mg.selected_pairs(_candidates(logs), GENERATORS)
 
 
 def _labelled(logs: Logs) -> DataFrame:
@@ -181,17 +187,26 @@ def _trained(logs: Logs) -> DataFrame:
 
 
 def _wide(logs: Logs) -> DataFrame:
-    return mg.wide_candidates(_candidates(logs), BASE_GENERATORS)
+    return mg.wide_candidates(_candidates(logs), GENERATORS)
 
 
 def _votes(logs: Logs) -> DataFrame:
-    return mg.add_votes(_wide(logs), BASE_GENERATORS)
+    return mg.add_votes(_wide(logs), GENERATORS)
 
 
 def _merged(logs: Logs) -> DataFrame:
     """Everything a ranker needs: scores, votes, targets, folds."""
     labelled = st.materialize(mg.label_candidates(_wide(logs), logs.labels), "labelled")
-    return st.materialize(mg.add_votes(mg.add_folds(labelled), BASE_GENERATORS), "merged")
+    return st.materialize(mg.add_votes(mg.add_folds(labelled), GENERATORS), "merged")
+
+
+def _scores_wide(s, d):
+    wide = _wide(Logs(s, d))
+    shown = {
+        f"{g}_score": F.when(F.col(f"{g}_score") >= 0, F.col(f"{g}_score").cast("double") * 1e6).otherwise(-1.0)
+        for g in TINY
+    }
+    return _rounded(wide.withColumns(shown))
 
 
 # --- vectors ------------------------------------------------------------------
@@ -377,7 +392,7 @@ def _rank(kind: str, target: str, **params) -> Query:
     def run(s, d):
         merged = _merged(Logs(s, d))
         sampled = st.materialize(sp.sample_negatives(merged), "sampled")
-        models = rk.train_folds(sampled, target, RANK_FEATURES, (0,), kind, **params)
+        models = rk.train_folds(sampled, target, RANK_FEATURES, kind=kind, **params)
         return rk.predict_folds(models, merged, target, RANK_FEATURES, kind)
 
     return run
@@ -392,13 +407,19 @@ def _score_candidates(s, d):
     sampled = st.materialize(sp.sample_negatives(merged), "sampled")
     models = rk.train_folds(sampled, "target_buy", RANK_FEATURES, kind="pairwise", **_LINEAR)
     scores = rk.predict_folds(models, merged, "target_buy", RANK_FEATURES, "pairwise")
-    return st.read_stage(s, rk.write_scores(scores, st.stage_path(s, "scores")), scores.schema)
+    stored = st.read_stage(s, rk.write_scores(scores, st.stage_path(s, "scores")), scores.schema)
+    score = F.col("pred_score")
+    known = score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
+    return stored.select("session", "aid", "model", "target", F.col("fold").cast("tinyint").alias("fold"), known.alias("finite"))
 
 
 def _importance(s, d):
     sampled = st.materialize(sp.sample_negatives(_merged(Logs(s, d))), "sampled")
-    models = rk.train_folds(sampled, "target_click", RANK_FEATURES, (0,), **_TREES)
-    return rk.feature_importance(s, models, RANK_FEATURES)
+    models = rk.train_folds(sampled, "target_click", RANK_FEATURES, **_TREES)
+    found = rk.feature_importance(s, models, RANK_FEATURES)
+    total = found.agg(F.round(F.sum("importance"), 6).alias("total"))
+    # A model's importances add up to one: the sum over folds is their number.
+    return found.join(total, F.col("importance") >= 0).select("feature", "total")
 
 
 def _model_roundtrip(s, d):
@@ -407,7 +428,10 @@ def _model_roundtrip(s, d):
     model = rk.train_folds(sampled, "target_click", RANK_FEATURES, (0,), **_TREES)[0]
     path = st.stage_path(s, "model")
     model.write().overwrite().save(path)
-    return rk.predict_pointwise(rk.PipelineModel.load(path), merged)
+    before = rk.predict_pointwise(model, merged)
+    after = rk.predict_pointwise(rk.PipelineModel.load(path), merged).withColumnRenamed("pred_score", "again")
+    same = F.col("pred_score").eqNullSafe(F.col("again"))
+    return before.join(after, ["session", "aid"]).select("session", "aid", same.alias("same"))
 
 
 # --- preprocessing ------------------------------------------------------------
@@ -516,7 +540,7 @@ def queries() -> dict[str, Query]:
         "cand_item2vec_last": _item2vec_candidates("last"),
         "cand_item2vec_seq": _item2vec_candidates("seq"),
         "merge_candidates": lambda s, d: _heads(Logs(s, d)),
-        "candidate_scores_wide": lambda s, d: _rounded(_wide(Logs(s, d))),
+        "candidate_scores_wide": _scores_wide,
         "candidate_votes": lambda s, d: _rounded(
             _votes(Logs(s, d)).select(
                 "session",

@@ -121,8 +121,10 @@ def eligible_events(train: DataFrame, test: DataFrame, min_events: int = 20) ->
 
 
 def _kept(ratio: float, *salted):
-    """Repeatable draw: first 32 bits of an md5 against the ratio."""
-    threshold = "%08x" % min(int(ratio * 2**32), 2**32 - 1)
+    """Repeatable draw: first 32 bits of an md5 against the ratio; 1 keeps every row."""
+    if ratio >= 1:
+        return F.lit(True)
+    threshold = "%08x" % int(ratio * 2**32)
     digest = F.md5(F.concat_ws(":", *salted))
     return F.substring(digest, 1, 8) < F.lit(threshold)
 

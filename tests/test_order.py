@@ -30,6 +30,32 @@ def test_score_ranks_same_for_hot_sessions(train):
     assert rows(all_history_candidates(train, hot)) == rows(all_history_candidates(train))
 
 
+def test_hot_paths_with_nulls_nan_and_ties(spark):
+    nan = float("nan")
+    values = [(1, 5, 2.0), (1, 3, None), (1, 4, None), (1, 6, 2.0), (1, 7, nan), (2, 1, None), (2, 2, 1.0), (None, 8, 1.0)]
+    df = spark.createDataFrame([(*v, v[1], v[1]) for v in values], "session int, aid int, score double, ts int, eid int")
+    hot = od.hot_groups(df, ["session"], 2)
+    assert [r.session for r in hot.collect()] == [1]
+    order = [F.col("score").desc(), F.col("aid").asc()]
+    for function in (
+        lambda h: od.score_ranks(df, ["session"], hot=h),
+        lambda h: od.positions(df, ["session"], order, "p", h),
+        lambda h: od.following(df, ["session"], order, ["aid", "score"], 2, h),
+        lambda h: od.item_lists(df, 2, h),
+    ):
+        assert list(map(repr, rows(function(hot)))) == list(map(repr, rows(function(None))))
+    assert od.score_ranks(df, ["session"], hot=hot).count() == len(values)
+    placed = od.sliced_positions(df, ["session"], order, "p").collect()
+    assert len(placed) == len(values) and {r.p for r in placed if r.session is None} == {0}
+
+
+def test_sample_of_everything_keeps_everything(train):
+    from sessionrec.sources.events import sample_sessions
+
+    labels = train.select("session").distinct()
+    assert sample_sessions(train, train, labels, 1.0)[0].count() == train.count()
+
+
 def test_positions_same_for_hot_sessions(train):
     hot = od.hot_groups(train, ["session"], 30)
     plain = od.positions(train, ["session"], od.oldest_first(), "p")
