@@ -84,12 +84,14 @@ AGGREGATIONS = ("sum", "mean", "max", "last", "count")
 MERGED_AGGREGATIONS = ("sum", "last", "count")
 
 
-def pair_cells(items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def pair_cells(
+    items: DataFrame, block_items: int = BLOCK_ITEMS, extra: tuple[str, ...] = ()
+) -> DataFrame:
     """Session items with the join cell(s) they take part in.
 
     A session of n items has ceil(n / block_items) blocks; an item of block b goes
     to the cells (b, other) of all blocks. Ordinary sessions have the cell (0, 0).
-    ``size`` is the number of events of the session.
+    ``size`` is the number of events of the session; ``extra`` names further item columns.
     """
     sessions = items.groupBy("session").agg(
         F.expr("sum(n0 + n1 + n2) AS size"),
@@ -101,7 +103,7 @@ def pair_cells(items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
         items.join(sessions, "session")
         .withColumn("_block", block)
         .select(
-            "session", "aid", "size", "_block", *[f"t{t}" for t in TYPES], other
+            "session", "aid", "size", "_block", *[f"t{t}" for t in TYPES], *extra, other
         )
         .withColumn("_cell_a", F.least("_block", "_other"))
         .withColumn("_cell_b", F.greatest("_block", "_other"))
@@ -109,23 +111,32 @@ def pair_cells(items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     )
 
 
-def join_partitions(df: DataFrame) -> int:
-    """Partitions of a multiplying join: the session's shuffle setting, every core busy."""
+# Pairs that a task of the pair join makes, about.
+PAIRS_PER_TASK = 4_000_000
+
+
+def join_partitions(df: DataFrame, rows: int = 0) -> int:
+    """Partitions of a multiplying join: the session's shuffle setting, every core busy,
+    and more where the join makes more than ``PAIRS_PER_TASK`` rows for each."""
     spark = df.sparkSession
     return max(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         4 * spark.sparkContext.defaultParallelism,
+        -(-rows // PAIRS_PER_TASK),
     )
 
 
-def unordered_pairs(cells: DataFrame) -> DataFrame:
+def unordered_pairs(cells: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Each pair of items of a session once: ``a``, ``b`` (a <= b) with their times.
 
     Both sides of the join are the same cells, so they share one shuffle. Its number
-    of partitions is fixed: the rows are few and small here, but multiply in the join.
+    of partitions follows from the pairs, not from the rows, which are few and small
+    here but multiply in the join. Columns of ``extra`` become a_<name> and b_<name>.
     """
     cell = ("session", "size", "_cell_a", "_cell_b")  # size depends on the session
-    spread = cells.repartition(join_partitions(cells), *cell)
+    sizes = cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    made = sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    spread = cells.repartition(join_partitions(cells, made), *cell)
     same_cell = " AND ".join(f"l.{c} = r.{c}" for c in cell)
     joined = spread.alias("l").join(
         spread.alias("r"),
@@ -135,7 +146,11 @@ def unordered_pairs(cells: DataFrame) -> DataFrame:
     )
     ordered = [
         column
-        for name, lower, upper in [("aid", "a", "b"), *[(f"t{t}", f"a{t}", f"b{t}") for t in TYPES]]
+        for name, lower, upper in [
+            ("aid", "a", "b"),
+            *[(f"t{t}", f"a{t}", f"b{t}") for t in TYPES],
+            *[(c, f"a_{c}", f"b_{c}") for c in extra],
+        ]
         for column in (
             f"if(l.aid <= r.aid, l.{name}, r.{name}) AS {lower}",
             f"if(l.aid <= r.aid, r.{name}, l.{name}) AS {upper}",
@@ -190,9 +205,11 @@ def pair_weights(
     # Read three times below (cells, session sizes, item counts).
     items = materialize(session_items(events), "session-items")
     used = sorted({t for r in rules for t in (*r.source, *r.target)})
-    sized = pair_cells(items, block_items)
+    # Item counts join the few session items here, so that the pairs carry them.
+    counted = materialize(items.join(item_counts(items).toDF("aid", "count"), "aid"), "counted-items")
+    sized = pair_cells(counted, block_items, ("count",))
     touched = F.coalesce(*[F.col(f"t{t}") for t in used]).isNotNull()
-    pairs = unordered_pairs(sized.filter(touched))
+    pairs = unordered_pairs(sized.filter(touched), ("count",))
     terms = _pair_terms(pairs, events, used, any(r.trend for r in rules))
 
     sums = []
@@ -200,14 +217,10 @@ def pair_weights(
         back = _direction(rule, "b", "a")
         sums.append(F.expr(f"sum({_direction(rule, 'a', 'b')}) AS forward_{n}"))
         sums.append(F.expr(f"sum(if(a < b, {back}, null)) AS back_{n}"))
-    summed = terms.groupBy("a", "b").agg(*sums)
-
-    counts = item_counts(items)
-    damped = (
-        summed.join(counts.toDF("a", "count_a"), "a")
-        .join(counts.toDF("b", "count_b"), "b")
-        .withColumn("popular", C.popularity_damping(F.col("count_a"), F.col("count_b")))
+    summed = terms.groupBy("a", "b").agg(
+        F.max("a_count").alias("count_a"), F.max("b_count").alias("count_b"), *sums
     )
+    damped = summed.withColumn("popular", C.popularity_damping(F.col("count_a"), F.col("count_b")))
     directed = ", ".join(
         f"struct({n} AS rule, {left} AS aid, {right} AS aid_right, "
         f"{value}_{n}{' * popular' if rule.popularity else ''} AS weight)"
@@ -292,17 +305,21 @@ def neighbour_scores(
         items = items.join(events.groupBy("session").agg(*edges), "session")
         newest = "aid <=> last_{}"
     uses = ", ".join(
-        f"struct('{r.name}' AS rule, {count_of(r.source)} AS n, "
-        f"{newest.format(_key(r.source))} AS newest)"
+        f"'{r.name}', struct({count_of(r.source)} AS n, {newest.format(_key(r.source))} AS newest)"
         for r in rules
     )
-    # Each row meets hundreds of neighbours: spread the few rows over all cores first.
-    used = (
-        items.repartition(join_partitions(items), "session", "aid")
-        .selectExpr("session", "aid", f"inline(array({uses}))")
-        .filter("n > 0")
+    used = items.selectExpr("session", "aid", f"map({uses}) AS uses")
+    # An item's neighbours of all rules are one row (rules x top neighbours at most), so the
+    # events meet them in one join. Both sides are plain there: a hot item can be split.
+    near = F.struct("rule", "aid_right", F.col("weight").cast("double").alias("w"))
+    packed = pairs.groupBy("aid").agg(F.collect_list(near).alias("near"))
+    joined = (
+        used.join(materialize(packed, "packed-neighbours"), "aid")
+        .select("session", "uses", F.inline("near"))
+        .withColumn("use", F.col("uses")[F.col("rule")])
+        .filter("use.n > 0")
+        .select("session", "rule", "aid_right", "w", "use.n", "use.newest")
     )
-    joined = used.join(pairs.withColumn("w", F.col("weight").cast("double")), ["rule", "aid"])
     scored = joined.groupBy("session", "rule", F.col("aid_right").alias("aid")).agg(
         *[F.expr(f"{_AGGREGATES[a]} AS {a}") for a in aggregations]
     )

@@ -200,6 +200,11 @@ def predict_pairwise(model: Model, rows: DataFrame, features: list[str]) -> Data
     )
 
 
+def load_model(path: str, kind: str) -> Model:
+    """A fold's model as ``train_folds`` returned it and as its writer saved it."""
+    return {"pointwise": PipelineModel, "pairwise": LogisticRegressionModel}[kind].load(path)
+
+
 def train_folds(
     sampled: DataFrame,
     target: str,

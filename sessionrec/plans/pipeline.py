@@ -46,7 +46,7 @@ class Settings:
     sample_ratio: float | None = None
     negative_ratio: float = 0.5
     folds: tuple[int, ...] = (0, 1, 2)
-    targets: tuple[str, ...] = ("target_click", "target_cart", "target_order")
+    targets: tuple[str, ...] = rk.TARGETS
     kind: str = "pointwise"
     ranker: dict = field(default_factory=dict)
     seed: int = 77
@@ -160,9 +160,18 @@ class Pipeline:
                 model.write().overwrite().save(f"{self.root}/models/{s.kind}_{target}_{fold}")
         return models
 
-    def score(self, models: dict[str, dict[int, object]]) -> DataFrame:
-        """Scores of all candidates, out of fold where folds exist."""
+    def load_models(self, root: str | None = None) -> dict[str, dict[int, object]]:
+        """The models that ``train`` saved, of this run or of the run under ``root``."""
+        s, at = self.settings, f"{(root or self.root).rstrip('/')}/models"
+        return {
+            target: {fold: rk.load_model(f"{at}/{s.kind}_{target}_{fold}", s.kind) for fold in s.folds}
+            for target in s.targets
+        }
+
+    def score(self, models: dict[str, dict[int, object]] | None = None) -> DataFrame:
+        """Scores of all candidates, out of fold where folds exist; saved models by default."""
         s, featured, names = self.settings, self.table("featured"), self.feature_names()
+        models = self.load_models() if models is None else models
         by_fold = "fold" in featured.columns
         for target, by in models.items():
             scores = rk.predict_folds(by, featured, target, names, s.kind, by_fold)
