@@ -134,8 +134,9 @@ def fit(
         .groupBy("lang")
         .agg(F.max("_order").alias("_last"))
     )
+    # One row per language, as the model has, so texts are filtered where they are read.
     # Repeated rows share a hash and count once, so the sample stays within its bound.
-    taken = rows.join(limits, "lang").filter("_order <= _last").drop("_last")
+    taken = rows.join(F.broadcast(limits), "lang").filter("_order <= _last").drop("_last")
     taken = taken.dropDuplicates(["lang", "_order"])
 
     def count(batches):
