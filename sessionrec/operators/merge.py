@@ -156,14 +156,3 @@ def add_folds(pairs: DataFrame, folds: int = N_FOLDS) -> DataFrame:
     """All rows of a session share one fold."""
     return pairs.join(session_folds(pairs, folds), "session")
 
-
-def merge_candidates(
-    candidates: DataFrame,
-    generators: tuple[Generator, ...] = ALL_GENERATORS,
-    labels: DataFrame | None = None,
-) -> DataFrame:
-    """The merged table. Without labels (submission) there are no targets and folds."""
-    merged = wide_candidates(candidates, generators)
-    if labels is not None:
-        merged = add_folds(label_candidates(merged, labels))
-    return add_votes(merged, generators)

@@ -45,12 +45,9 @@ def with_target_rows(pairs: DataFrame, target: str, session_level: bool = False)
     return pairs.filter(F.col(f"no_{target}") == 0)
 
 
-def training_rows(
-    sampled: DataFrame, target: str, fold: int, all_folds: bool = False
-) -> DataFrame:
-    """Training rows: other folds, or all rows where the model is trained on all."""
-    rows = with_target_rows(add_targets(sampled), target)
-    return rows if all_folds else rows.filter(F.col("fold") != fold)
+def training_rows(sampled: DataFrame, target: str, fold: int) -> DataFrame:
+    """Training rows of a fold: those of the other folds."""
+    return with_target_rows(add_targets(sampled), target).filter(F.col("fold") != fold)
 
 
 def validation_rows(pairs: DataFrame, target: str, fold: int) -> DataFrame:
@@ -225,7 +222,6 @@ def predict_folds(
     features: list[str],
     kind: str = "pointwise",
     by_fold: bool = True,
-    only_target_rows: bool = False,
 ) -> DataFrame:
     """Scores of a kind and target: session, aid, model, target, fold, pred_score.
 
@@ -237,8 +233,6 @@ def predict_folds(
         rows = add_targets(pairs) if by_fold else pairs
         if by_fold:
             rows = rows.filter(F.col("fold") == fold)
-        if only_target_rows:
-            rows = with_target_rows(rows, target)
         scored = (
             predict_pointwise(model, rows)
             if kind == "pointwise"

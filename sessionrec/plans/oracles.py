@@ -40,13 +40,14 @@ def _in(types) -> str:
     return "(" + ", ".join(map(str, types)) + ")"
 
 
-CTES["ev"] = """
+CTES["ev_all"] = """
   SELECT CAST(user_id AS INT) AS session,
          CAST(json_extract_string(props, '$.k') AS INT) AS aid,
          epoch_us(ts) // 1000000 AS ts,
          CAST(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 ELSE 0 END AS TINYINT) AS type,
-         event_id AS eid
-  FROM events WHERE event_type <> 'error'"""
+         event_id AS eid, event_type = 'error' AS failed
+  FROM events"""
+CTES["ev"] = "SELECT * EXCLUDE (failed) FROM ev_all WHERE NOT failed"
 CTES["tr"] = f"SELECT * FROM ev WHERE ts < {SPLIT}"
 CTES["later"] = f"SELECT * FROM ev WHERE ts >= {SPLIT}"
 CTES["te"] = "SELECT * FROM tr WHERE session IN (SELECT session FROM later)"
@@ -547,7 +548,8 @@ def _ndcg() -> str:
 def oracle_sql() -> dict[str, str]:
     """SQL of every query that has one."""
     q: dict[str, str] = {
-        "load_events": "SELECT * FROM ev",
+        "load_events": "SELECT * EXCLUDE (failed) FROM ev_all",
+        "drop_error_events": "SELECT * FROM ev",
         "load_labels": "SELECT session, type, array_to_string(ground_truth, ',') AS ground_truth FROM truth_lists",
         "roundtrip_parquet": "SELECT * FROM tr",
         "train_plus_test": "SELECT * FROM ev",

@@ -59,6 +59,13 @@ class Pipeline:
         self.spark = spark
         self.root = root.rstrip("/")
         self.settings = settings or Settings()
+        self._hot: dict[str, DataFrame | None] = {}
+
+    def hot(self, name: str) -> DataFrame | None:
+        """The long sessions of a log, looked up once per run."""
+        if name not in self._hot:
+            self._hot[name] = hot_sessions(self.table(name))
+        return self._hot[name]
 
     def table(self, name: str) -> DataFrame:
         return read_stage(self.spark, f"{self.root}/{name}")
@@ -76,9 +83,10 @@ class Pipeline:
             whole, test, labels = log.sample_sessions(whole, test, labels, s.sample_ratio, s.seed)
         train = self._write(whole, "train")
         self._write(test, "test")
+        self._hot.clear()
         self._write(labels, "labels")
         ids = self._write(fz.item_ids(train), "item_ids")
-        self._write(fz.lag_pairs(train, ids, hot=hot_sessions(train)), "lag_pairs")
+        self._write(fz.lag_pairs(train, ids, hot=self.hot("train")), "lag_pairs")
 
     @property
     def labels(self) -> DataFrame | None:
@@ -89,7 +97,7 @@ class Pipeline:
         """All generators into one long candidate table, one folder per family."""
         s, train, test = self.settings, self.table("train"), self.table("test")
         names = {g.name for g in s.generators}
-        self._write(all_history_candidates(test, hot_sessions(test)), "candidates/family=history")
+        self._write(all_history_candidates(test, self.hot("test")), "candidates/family=history")
 
         pairs = self._write(cf.item_pairs(train, s.rules), "item_pairs")
         found = cf.item_cf_candidates(test, pairs, s.rules, candidates=s.candidates)
@@ -110,7 +118,7 @@ class Pipeline:
             )
             self._write(found, "candidates/family=user_mf")
         if names & {"item2vec_last", "item2vec_seq"}:
-            sentences = i2v.item_sentences(train, hot_sessions(train))
+            sentences = i2v.item_sentences(train, self.hot("train"))
             model = i2v.fit_item2vec(sentences, s.vector_size, s.vector_iterations, seed=s.seed)
             vectors = self._write(i2v.item2vec_vectors(model), "item2vec")
             for seed in ("last", "seq"):
@@ -132,10 +140,8 @@ class Pipeline:
     def features(self) -> DataFrame:
         """Features joined onto the candidates; the sampled training set beside them."""
         s = self.settings
-        tables = [
-            (t, self._write(df, f"features/{t.build.__name__}"))
-            for t, df in build_features(self.table("train"), self.table("test"), s.tables)
-        ]
+        built = build_features(self.table("train"), self.table("test"), s.tables, self.hot("test"), True)
+        tables = [(t, self._write(df, f"features/{t.build.__name__}")) for t, df in built]
         featured = self._write(merge_features(self.table("merged"), tables), "featured")
         if self.labels is not None:
             self._write(sample_negatives(featured, s.negative_ratio, s.seed), "sampled")

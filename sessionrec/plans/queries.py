@@ -448,7 +448,7 @@ def _load_labels(s, d):
 
 
 def _load_events(s, d):
-    path = st.write_stage(fx.all_events(s, d), st.stage_path(s, "events"))
+    path = st.write_stage(fx.all_events(s, d, errors=True), st.stage_path(s, "events"))
     return log.load_events(s, path)
 
 
@@ -483,6 +483,7 @@ def _sample(s, d):
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "load_events": _load_events,
+        "drop_error_events": fx.all_events,
         "load_labels": _load_labels,
         "roundtrip_parquet": _roundtrip,
         "train_plus_test": lambda s, d: log.train_log(_train(s, d), fx.later_events(s, d)),

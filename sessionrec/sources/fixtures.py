@@ -29,13 +29,14 @@ def _clicks(raw: DataFrame) -> DataFrame:
     )
 
 
-def _raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type <> 'error'")
+def _raw_events(spark: SparkSession, sf_dir: str, errors: bool = False) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return raw if errors else raw.filter("event_type <> 'error'")
 
 
-def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole log; event kind error is no interaction."""
-    return _clicks(_raw_events(spark, sf_dir))
+def all_events(spark: SparkSession, sf_dir: str, errors: bool = False) -> DataFrame:
+    """The log without events of kind error, which are no interactions; or the whole log."""
+    return _clicks(_raw_events(spark, sf_dir, errors))
 
 
 def train_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,12 +40,13 @@ def test_votes(candidates):
 
 def test_labels_targets_and_folds(spark, candidates):
     labels = spark.createDataFrame([(1, 0, [10, 10]), (1, 2, [11]), (3, 1, [1])], LABEL_SCHEMA)
-    merged = mg.merge_candidates(candidates, GENERATORS, labels)
+    wide = mg.wide_candidates(candidates, GENERATORS)
+    merged = mg.add_votes(mg.add_folds(mg.label_candidates(wide, labels)), GENERATORS)
     got = {(r.session, r.aid): r for r in merged.collect()}
     assert set(got) == {(1, 10), (1, 11)}  # session 2 has no positive row, no row doubled
     assert got[1, 10].target_click == 1 and got[1, 10].no_target_cart == 1
     assert {r.fold for r in got.values()} == {0}
-    unlabelled = mg.merge_candidates(candidates, GENERATORS)
+    unlabelled = mg.add_votes(wide, GENERATORS)
     assert "target_click" not in unlabelled.columns and unlabelled.count() == 3
 
 
