@@ -4,12 +4,15 @@ Equal lines are merged first, by a 128-bit hash. Each distinct line has a MinHas
 signature over its character shingles, cut into ``BANDS`` bands of ``BAND_ROWS`` values: a
 pair with Jaccard similarity 0.8 shares a band with probability 0.985, one of 0.9 with
 0.9999. Lines that share a band are candidates and are compared exactly, set with set:
-first every line of a bucket with the bucket's first line, which costs one comparison per
-line however large the bucket is; after the components of those links are known, only
-pairs of a bucket in different components, as pairs in one component change nothing. So
-every candidate pair is either compared or already joined, and a large group of near
-copies is never paired out. One line of each component stays: the first by document id
-and line number.
+first every line of a bucket with the bucket's most frequent line, its head, which costs
+one comparison per line however large the bucket is. After the components of those links
+are known, only pairs of different components are of interest, as pairs in one component
+change nothing. The lines of a head are then dealt into cells of bounded size, and every
+cell of lines that stand apart from their head meets every cell of the head's other lines:
+an inverted list over the shingles of the first counts what each of the second shares.
+Only links leave a cell. Every candidate pair is so either compared or already joined, and
+no pairs are written out. One line of each component stays: the first by document id and
+line number.
 
 Lines of fewer than ``LEAST`` characters, blank lines among them, carry no evidence of
 copying and always stay.
@@ -23,6 +26,7 @@ columns are kept by ``dedup_text`` and ignored elsewhere.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionrec.llm.common import documents, with_rows
-from sessionrec.llm.components import components
+from sessionrec.llm.components import components, forest
 from sessionrec.sources.stages import materialize
 
 SHINGLE = 7
@@ -38,6 +42,7 @@ SIMILARITY = 0.8
 BANDS = 8
 BAND_ROWS = 4
 LEAST = 20
+CELL = 100_000  # distinct shingles that a cell's inverted list holds, about
 # Characters hashed at a time: small arrays stay in the processor's cache.
 _CHARACTERS = 1 << 16
 
@@ -93,7 +98,7 @@ def bands(signature: np.ndarray, count: int = BANDS, rows: int = BAND_ROWS) -> n
     return keys.view(np.int64)
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=512)
 def shingles(line: str, width: int = SHINGLE) -> frozenset:
     return frozenset(line[i : i + width] for i in range(len(line) - width + 1))
 
@@ -142,33 +147,118 @@ class LineDedup:
 
         return lines.mapInArrow(run, "doc_id long, body long, number int, h1 long, h2 long, keys array<bigint>")
 
-    def compared(self, pairs: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
-        """The pairs (a, b) of line numbers with enough Jaccard similarity."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        keys = materialize(nodes.join(wanted, "node").select("node", "h1", "h2", "doc_id", "body", "number"), "wanted")
-        # The text of a line is read where it stands first, so each is found once.
+    def line_texts(self, wanted: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
+        """(node, line) of the wanted nodes; a text is read where the line stands first."""
+        keys = nodes.join(wanted, "node").select("node", "h1", "h2", F.col("doc_id").alias("_id"), "body", "number")
         place = ["h1", "h2", "body", "number"]
-        there = (
-            lines.join(keys.withColumnRenamed("doc_id", "_id"), place)
-            .filter(F.col("doc_id").eqNullSafe(F.col("_id")))
-            .select("node", "line")
-            .dropDuplicates(["node"])
+        met = lines.join(keys, place).filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+        # Repeated rows give a line twice; the join's own keys keep them together.
+        return materialize(met.dropDuplicates([*place, "node"]).select("node", "line"), "line-texts")
+
+    @staticmethod
+    def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        line = {name: texts.withColumnsRenamed({"node": name, "line": f"line_{name}"}) for name in ("a", "b")}
+        return pairs.join(line["b"], "b").join(line["a"], "a").select("a", "b", "line_a", "line_b")
+
+    def compared(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """(a, b, size_a, size_b, common) in shingles, for every pair."""
+
+        def run(batches):
+            for batch in batches:
+                out = []
+                for x, y in zip(batch["line_a"].to_pylist(), batch["line_b"].to_pylist()):
+                    x, y = shingles(x, self.width), shingles(y, self.width)
+                    out.append((len(x), len(y), len(x & y)))
+                columns = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 3)]
+                names = ["a", "b", "size_a", "size_b", "common"]
+                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *columns], names)
+
+        schema = "a long, b long, size_a long, size_b long, common long"
+        return self.with_texts(pairs, texts).mapInArrow(run, schema)
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        union = F.col("size_a") + F.col("size_b") - F.col("common")
+        return pairs.filter(F.col("common") >= self.similarity * union).select("a", "b")
+
+    def open_links(self, stars: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+        """(a, b): links between lines of one head that the stars have not joined."""
+
+        def named(name):
+            return labels.select(F.col("node").alias(name), F.col("component").alias(f"class_{name}"))
+
+        known = (
+            stars.join(named("a"), "a", "left")
+            .join(named("b"), "b", "left")
+            .withColumn("class_a", F.coalesce("class_a", "a"))
+            .withColumn("apart", F.col("class_a") != F.coalesce("class_b", "b"))
+        )
+        known = known.select(
+            F.col("b").alias("head"), F.col("a").alias("node"), F.col("class_a").alias("class"), "apart", "size_a"
+        )
+        known = materialize(known, "star-classes")
+        loose = F.sum(F.when(F.col("apart"), F.col("size_a")))
+        heads = known.groupBy("head").agg(
+            F.count("*").alias("n"),
+            F.ceil(loose / CELL).cast("int").alias("rows"),
+            F.ceil(F.sum("size_a") / (4 * CELL)).cast("int").alias("columns"),
         )
-        there = materialize(there, "line-texts")
-        both = (
-            pairs.join(there.withColumnsRenamed({"node": "b", "line": "line_b"}), "b")
-            .join(there.withColumnsRenamed({"node": "a", "line": "line_a"}), "a")
+        # A head with one other line has no further pair.
+        heads = heads.filter("rows is not null and n > 1").drop("n")
+        opened = known.join(materialize(heads, "open-heads"), "head").join(texts, "node")
+        opened = materialize(opened.repartition("node"), "open-lines")
+        spread = F.xxhash64("node")
+
+        def dealt(df, own, count, other, others, side):
+            return df.select(
+                "head",
+                F.pmod(spread, F.col(count)).cast("int").alias(own),
+                F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other),
+                F.lit(side).alias("side"),
+                "node",
+                "class",
+                "apart",
+                "line",
+            ).select("head", "i", "j", "side", "node", "class", "apart", "line")
+
+        met = dealt(opened.filter("apart"), "i", "rows", "j", "columns", 0).union(
+            dealt(opened, "j", "columns", "i", "rows", 1)
         )
+        met = met.repartition("head", "i", "j").sortWithinPartitions("head", "i", "j", "side", "node")
 
         def run(batches):
-            for batch in batches:
-                keep = [
-                    jaccard(x, y, self.width) >= self.similarity
-                    for x, y in zip(batch["line_a"].to_pylist(), batch["line_b"].to_pylist())
-                ]
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            cell, first, index, links = None, [], {}, []
 
-        return both.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
+            def out():
+                found = forest(links)
+                columns = [pa.array(c, pa.int64()) for c in (list(found.keys()), list(found.values()))]
+                return pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+            for batch in batches:
+                for head, i, j, side, node, group, apart, line in zip(*(c.to_pylist() for c in batch.columns)):
+                    if cell != (head, i, j):
+                        if links:
+                            yield out()
+                        cell, first, index, links = (head, i, j), [], {}, []
+                    own = frozenset(line[k : k + self.width] for k in range(len(line) - self.width + 1))
+                    if side == 0:
+                        for shingle in own:
+                            index.setdefault(shingle, []).append(len(first))
+                        first.append((node, group, len(own)))
+                        continue
+                    if not any(group != other for _, other, _ in first):
+                        continue
+                    lists = [index[shingle] for shingle in own if shingle in index]
+                    common = np.bincount(np.fromiter(chain.from_iterable(lists), np.int64), minlength=len(first))
+                    for k in np.flatnonzero(common):
+                        a, other, size = first[k]
+                        shared = int(common[k])
+                        if other != group and (not apart or a > node):
+                            if shared >= self.similarity * (size + len(own) - shared):
+                                links.append((a, node))
+            if links:
+                yield out()
+
+        return met.mapInArrow(run, "a long, b long")
 
     def classes(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(occurrences, nodes): every droppable line, and every distinct one with its class."""
@@ -177,39 +267,25 @@ class LineDedup:
         order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number", "body")
         nodes = with_rows(
             table.groupBy("h1", "h2")
-            .agg(F.min(order).alias("first"), F.any_value("keys").alias("keys"))
-            .select("h1", "h2", "first", "first.doc_id", "first.body", "first.number", "keys"),
+            .agg(F.min(order).alias("first"), F.any_value("keys").alias("keys"), F.count("*").alias("n"))
+            .select("h1", "h2", "first", "first.doc_id", "first.body", "first.number", "keys", "n"),
             "distinct-lines",
-            "node",
+            "place",
         )
+        # Numbers of lines with more copies are smaller: the likeliest originals come first.
+        level = F.lit(7) - F.least(F.lit(7), F.floor(F.log2("n")))
+        nodes = nodes.withColumn("node", F.shiftleft(level.cast("bigint"), 60) + F.col("place")).drop("place", "n")
         members = nodes.select("node", F.explode("keys").alias("key"))
-        buckets = materialize(
-            members.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"),
-            "buckets",
-        )
-        held = materialize(members.join(buckets, "key"), "bucket-members")
-        stars = held.filter("node > head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-        stars = materialize(stars, "star-pairs")
-        found = materialize(self.compared(stars, nodes, lines), "star-links")
-        labels = materialize(components(found), "labels")
-        # Lines that did not join their bucket's head meet the bucket's other lines.
-        label = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_class"))
-        known = (
-            held.join(label("node"), "node", "left")
-            .join(label("head"), "head", "left")
-            .withColumn("node_class", F.coalesce("node_class", "node"))
-            .withColumn("head_class", F.coalesce("head_class", "head"))
-        )
-        open_keys = known.filter("node_class != head_class").select("key").distinct()
-        known = materialize(known.filter("node != head").join(open_keys, "key", "left_semi"), "open-buckets")
-        apart = known.filter("node_class != head_class").select("key", F.col("node").alias("a"), F.col("node_class").alias("ca"))
-        rest = known.select("key", F.col("node").alias("b"), F.col("node_class").alias("cb"), (F.col("node_class") != F.col("head_class")).alias("apart"))
-        # Of two lines that are both apart, one order is enough.
-        more = apart.join(rest, "key").filter("ca != cb and (not apart or a > b)").select("a", "b").distinct()
-        more = materialize(more, "open-pairs")
-        if not more.isEmpty():
-            found = found.union(materialize(self.compared(more, nodes, lines), "open-links"))
-            labels = materialize(components(found), "labels")
+        buckets = members.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("lines"))
+        buckets = materialize(buckets.filter("lines > 1").drop("lines"), "buckets")
+        held = members.join(buckets, "key").filter("node != head")
+        stars = materialize(held.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "star-pairs")
+        wanted = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
+        texts = self.line_texts(wanted, nodes, lines)
+        stars = materialize(self.compared(stars, texts), "stars")
+        labels = materialize(components(self.similar(stars)), "labels")
+        joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = materialize(components(joined.union(self.open_links(stars, labels, texts))), "labels")
         classed = nodes.drop("keys", "doc_id", "body", "number").join(labels, "node", "left")
         return table, classed.withColumn("component", F.coalesce("component", "node"))
 
@@ -217,7 +293,7 @@ class LineDedup:
         """doc_id, body, dropped (sorted line numbers) of the documents that lose lines."""
         table, nodes = self.classes(docs)
         nodes = materialize(nodes, "classed-lines")
-        first = materialize(nodes.groupBy("component").agg(F.min("first").alias("stays")), "first-lines")
+        first = nodes.groupBy("component").agg(F.min("first").alias("stays"))
         stays = materialize(nodes.join(first, "component").select("h1", "h2", "stays"), "stays")
         here = (
             F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))
