@@ -300,14 +300,25 @@ def user_bpr(
     epochs: int = 100,
     lr: float = 0.01,
     seed: int = 77,
+    score: Callable[[DataFrame, DataFrame], float] | None = None,
 ) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Session and item vectors by BPR: (session, vec), (aid, vec), loss per epoch."""
+    """Session and item vectors by BPR: (session, vec), (aid, vec), loss per epoch.
+
+    ``score`` judges the two tables after each epoch, and the best ones are kept.
+    """
     examples = weights.join(items, "aid").join(sessions, "session").select(
         F.col("session_idx").alias("x"),
         F.col("aid_idx").alias("y"),
         F.lit(1.0).alias("coef_x"),
         F.col("weight").alias("coef_y"),
     )
+
+    def named(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return (
+            left.join(sessions, F.col("id") == F.col("session_idx")).select("session", "vec"),
+            right.join(items, F.col("id") == F.col("aid_idx")).select("aid", "vec"),
+        )
+
     left, right, losses = bpr(
         examples,
         initial_vectors(sessions, "session_idx", factors, seed),
@@ -316,12 +327,9 @@ def user_bpr(
         epochs,
         lr,
         seed,
+        None if score is None else lambda a, b: score(*named(a, b)),
     )
-    return (
-        left.join(sessions, F.col("id") == F.col("session_idx")).select("session", "vec"),
-        right.join(items, F.col("id") == F.col("aid_idx")).select("aid", "vec"),
-        losses,
-    )
+    return (*named(left, right), losses)
 
 
 def pair_losses(coefs: DataFrame, items: DataFrame, ids: DataFrame) -> DataFrame:

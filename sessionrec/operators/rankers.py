@@ -68,11 +68,22 @@ def fit_pointwise(
     depth: int = 5,
     learning_rate: float = 0.05,
     seed: int = 77,
+    validation: DataFrame | None = None,
 ) -> PipelineModel:
-    """Gradient-boosted trees on single rows, positives weighted up."""
-    labelled = rows.select(
-        *features, F.col(target).cast("double").alias("label"), positive_weight(target).alias("weight")
-    )
+    """Gradient-boosted trees on single rows, positives weighted up.
+
+    With ``validation`` rows, boosting stops when their error no longer falls.
+    """
+
+    def labelled_rows(part: DataFrame, held_out: bool) -> DataFrame:
+        label = F.col(target).cast("double").alias("label")
+        weight = positive_weight(target).alias("weight")
+        return part.select(*features, label, weight, F.lit(held_out).alias("held_out"))
+
+    labelled = labelled_rows(rows, False)
+    stop_early = validation is not None and not validation.isEmpty()
+    if stop_early:
+        labelled = labelled.unionByName(labelled_rows(validation, True))
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     trainer = GBTClassifier(
         labelCol="label",
@@ -86,6 +97,8 @@ def fit_pointwise(
         seed=seed,
         checkpointInterval=10,
     )
+    if stop_early:
+        trainer = trainer.setValidationIndicatorCol("held_out")
     return Pipeline(stages=[assembler, trainer]).fit(labelled)
 
 
@@ -210,9 +223,16 @@ def train_folds(
     kind: str = "pointwise",
     **params,
 ) -> dict[int, Model]:
-    """One model per fold, trained on the other folds."""
-    fit = {"pointwise": fit_pointwise, "pairwise": fit_pairwise}[kind]
-    return {f: fit(training_rows(sampled, target, f), target, features, **params) for f in folds}
+    """One model per fold, trained on the other folds; trees stop early by the fold's rows."""
+    models = {}
+    for fold in folds:
+        rows = training_rows(sampled, target, fold)
+        if kind == "pointwise":
+            held_out = validation_rows(sampled, target, fold)
+            models[fold] = fit_pointwise(rows, target, features, validation=held_out, **params)
+        else:
+            models[fold] = fit_pairwise(rows, target, features, **params)
+    return models
 
 
 def predict_folds(
