@@ -182,7 +182,8 @@ def search(index: DataFrame, phrases: list[tuple[list[int], str]], frequency: np
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one segment at a time, as arrays
+                row = {name: batch[name][i].values for name in batch.schema.names}
                 ends, phrase, doc, start = places(row)
                 begins = np.concatenate([[0], ends[:-1]])
                 order = np.lexsort((lengths[phrase], start))
@@ -196,8 +197,8 @@ def search(index: DataFrame, phrases: list[tuple[list[int], str]], frequency: np
                     items.append([owners[i] for i in np.unique(owner[phrase[a:b]])] if b > a else [])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["rows"], pa.int64()),
-                        pa.array(row["doc_ids"], pa.int64()),
+                        row["rows"],
+                        row["doc_ids"],
                         pa.array(ends - begins, pa.int64()),
                         pa.array(starts, pa.list_(pa.int64())),
                         pa.array(stops, pa.list_(pa.int64())),

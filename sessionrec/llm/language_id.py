@@ -38,7 +38,7 @@ CLUSTERS = 3
 ROUNDS = 8
 REJECT = 0.2
 PART = 1_000_000
-ROWS = 256
+ROWS = 128
 UNKNOWN = "und"
 
 
@@ -52,7 +52,7 @@ def _letters() -> np.ndarray:
 
 def ngram_counts(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray | None:
     """Hashed counts of letter n-grams, or None for a text without letters."""
-    counts = np.zeros(dimensions, np.int64)
+    counts = np.zeros(dimensions, np.int32)
     mask, letters = np.uint32(dimensions - 1), 0
     tail = ""
     text = text or ""
@@ -69,7 +69,7 @@ def ngram_counts(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray |
         two = (one[:-1] ^ (code[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
         three = (two[:-1] ^ (code[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
         for grams, back in ((one[skip:], 0), (two[max(0, skip - 1) :], 1), (three, 2)):
-            counts += np.bincount((grams ^ (grams >> np.uint32(15))) & mask, minlength=dimensions)
+            counts += np.bincount((grams ^ (grams >> np.uint32(15))) & mask, minlength=dimensions).astype(np.int32)
         tail = text[max(0, at + PART - 2) : at + PART].lower()
     return counts if letters else None
 
@@ -108,8 +108,7 @@ def cluster(vectors: np.ndarray, clusters: int = CLUSTERS, rounds: int = ROUNDS)
     member = np.zeros(len(vectors), np.int64)
     for _ in range(rounds):
         member = (vectors @ centroids.T).argmax(axis=1)
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, member, vectors)
+        sums = np.stack([vectors[member == c].sum(axis=0) for c in range(len(centroids))])
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centroids)
     return centroids, (vectors @ centroids.T).argmax(axis=1)
@@ -170,10 +169,11 @@ def fit(
 
     def centre(frame):
         frame = frame.sort_values("order")  # rows arrive in any order
-        counts = np.zeros((len(frame), dimensions), np.int64)
+        # One dense row per text of the sample, filled in place.
+        weighed = np.zeros((len(frame), dimensions), np.float32)
         for i, (at, values) in enumerate(zip(frame["at"], frame["values"])):
-            counts[i, at] = values
-        weighed = weigh(counts, idf)
+            row = (1 + np.log(np.asarray(values, np.float32))) * idf[at]
+            weighed[i, at] = row / np.linalg.norm(row)
         centroids, member = cluster(weighed, clusters)
         cosines = np.einsum("ij,ij->i", weighed, centroids[member])
         lang, low = frame["lang"].iloc[0], float(np.quantile(cosines, 0.01))

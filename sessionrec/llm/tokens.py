@@ -2,17 +2,20 @@
 
 Both vocabularies split a text into words by a pattern before anything else, so a text's
 ids are those of its words one after the other. A word is encoded by the library once and
-kept in a bounded cache; ids stay packed as little-endian unsigned 32-bit integers.
+kept in a bounded cache of two generations, so words in use outlive rare ones; ids stay
+packed as little-endian unsigned 32-bit integers.
 """
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000  # of each generation
 
 # The splitting patterns of the two public vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -29,17 +32,21 @@ class _Words(dict):
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        packed = self.older.pop(word, None)
+        if packed is None:
+            packed = pack_ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        packed = self[word] = pack_ids(ids)
+        self[word] = packed
         return packed
 
 
 def pack_ids(ids) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return np.array(ids, "<u4").tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordTokenizer:

@@ -2,7 +2,6 @@
 
 import random
 
-import pytest
 
 from sessionrec.llm import line_dedup as ld
 from sessionrec.llm.registry import queries
