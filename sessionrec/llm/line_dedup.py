@@ -119,6 +119,9 @@ class LineDedup:
         self.band_rows = band_rows
         self.least = max(least, width)
 
+    def parts(self, line: str) -> frozenset:
+        return shingles(line, self.width)
+
     def lines(self, docs: DataFrame) -> DataFrame:
         """doc_id, body, number, line, h1, h2 of every line that may be dropped.
 
@@ -167,7 +170,7 @@ class LineDedup:
             for batch in batches:
                 out = []
                 for x, y in zip(batch["line_a"].to_pylist(), batch["line_b"].to_pylist()):
-                    x, y = shingles(x, self.width), shingles(y, self.width)
+                    x, y = self.parts(x), self.parts(y)
                     out.append((len(x), len(y), len(x & y)))
                 columns = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 3)]
                 names = ["a", "b", "size_a", "size_b", "common"]
@@ -239,7 +242,7 @@ class LineDedup:
                         if links:
                             yield out()
                         cell, first, index, links = (head, i, j), [], {}, []
-                    own = frozenset(line[k : k + self.width] for k in range(len(line) - self.width + 1))
+                    own = self.parts(line)
                     if side == 0:
                         for shingle in own:
                             index.setdefault(shingle, []).append(len(first))
