@@ -14,8 +14,8 @@ Only links leave a cell. Every candidate pair is so either compared or already j
 no pairs are written out. One line of each component stays: the first by document id and
 line number.
 
-Lines of fewer than ``LEAST`` characters, blank lines among them, carry no evidence of
-copying and always stay.
+Every line with a character beside white space takes part. A line shorter than a shingle
+is its own only shingle, so it meets equal lines only; blank lines always stay.
 
 Defined cases: null text stays null and has no lines; a document may lose all lines and
 is then empty; rows that repeat both id and text count as one document and are treated
@@ -41,7 +41,9 @@ SHINGLE = 7
 SIMILARITY = 0.8
 BANDS = 8
 BAND_ROWS = 4
-LEAST = 20
+LEAST = 1
+# A character that is not Unicode white space.
+NOT_BLANK = r"(?U)\S"
 CELL = 100_000  # distinct shingles that a cell's inverted list holds, about
 # Characters hashed at a time: small arrays stay in the processor's cache.
 _CHARACTERS = 1 << 16
@@ -100,7 +102,7 @@ def bands(signature: np.ndarray, count: int = BANDS, rows: int = BAND_ROWS) -> n
 
 @lru_cache(maxsize=512)
 def shingles(line: str, width: int = SHINGLE) -> frozenset:
-    return frozenset(line[i : i + width] for i in range(len(line) - width + 1))
+    return frozenset(line[i : i + width] for i in range(max(1, len(line) - width + 1)))
 
 
 def jaccard(a: str, b: str, width: int = SHINGLE) -> float:
@@ -117,7 +119,7 @@ class LineDedup:
         self.width = width
         self.bands = bands
         self.band_rows = band_rows
-        self.least = max(least, width)
+        self.least = least
 
     def parts(self, line: str) -> frozenset:
         return shingles(line, self.width)
@@ -130,21 +132,22 @@ class LineDedup:
         text = F.col("text")
         return (
             docs.select("doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split(text, "\n")).alias("number", "line"))
-            .filter(F.length("line") >= self.least)
+            .filter((F.length("line") >= self.least) & F.col("line").rlike(NOT_BLANK))
             .withColumn("h1", F.xxhash64("line"))
             .withColumn("h2", F.xxhash64(F.lit(1), "line"))
         )
 
     def signed(self, lines: DataFrame) -> DataFrame:
-        """Lines with their band keys in place of the text."""
+        """Lines with their band keys in place of the text; none for lines under a shingle."""
 
         def run(batches):
             for batch in batches:
-                signature = signatures(batch["line"].to_pylist(), self.width, self.bands * self.band_rows)
-                keys = bands(signature, self.bands, self.band_rows)
-                column = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(keys) + 1, dtype=np.int32) * self.bands), pa.array(keys.ravel())
-                )
+                lines = batch["line"].to_pylist()
+                signed = np.array([len(x) >= self.width for x in lines], bool)
+                long = [x for x in lines if len(x) >= self.width]
+                keys = bands(signatures(long, self.width, self.bands * self.band_rows), self.bands, self.band_rows)
+                offsets = np.concatenate([[0], np.cumsum(signed * self.bands)]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
                 names = ["doc_id", "body", "number", "h1", "h2"]
                 yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], column], [*names, "keys"])
 

@@ -114,3 +114,52 @@ def test_query(spark, sf):
         same += got[doc_id].dropped == ",".join(map(str, sorted(gone)))
         assert got[doc_id].n_lines == n
     assert same >= 0.99 * len(rows)  # banding finds 98.5 % of pairs at the threshold
+
+
+def test_short_lines_take_part(spark):
+    rows = [
+        (1, "Les.\n短い文です。\n\nabcdefgh ijklmno"),
+        (2, "Les.\n \t\n短い文です。\nabcdefgh ijklmnp"),
+        (3, "Les\n\n\u3000\nabcdefgh ijklmno\nLes."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dropped = {r.doc_id: r.dropped for r in ld.LineDedup(bands=24, band_rows=2).dropped(docs).collect()}
+    # the changed last line shares 9 of 11 shingles
+    assert dropped == {2: [0, 2, 3], 3: [3, 4]}
+
+
+def brute_all(rows):
+    """Kept line numbers when every line takes part: under 7 characters by equality."""
+    kept = [set(keep) for keep in brute(rows, least=7)]
+    seen = set()
+    for i in sorted(range(len(rows)), key=lambda i: rows[i][0]):
+        for n, line in enumerate((rows[i][1] or "").split("\n")):
+            if line.strip() and len(line) < 7:
+                kept[i] -= {n} if line in seen else set()
+                seen.add(line)
+    return [sorted(keep) for keep in kept]
+
+
+def test_groups_of_all_lines_against_all_pairs(spark):
+    rnd = random.Random(8)
+    lines = [x for _ in range(6) for x in variants(rnd, 14, 5)] + ["short", "", "short"]
+    lines += [x[:15] for x in variants(rnd, 40, 3)]
+    rnd.shuffle(lines)
+    rows = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(len(lines) // 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ld.LineDedup(bands=24, band_rows=2).dedup_text(docs).collect()
+    want = {r[0]: "\n".join(r[1].split("\n")[n] for n in keep) for r, keep in zip(rows, brute_all(rows))}
+    assert {r.doc_id: r.text for r in out} == want
+
+
+def test_query_all_lines(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    rows = list(zip(docs.doc_id.tolist(), docs.text))
+    got = {r.doc_id: r.dropped for r in queries()["op10_line_dedup"](spark, sf).collect()}
+    same = short = 0
+    for (doc_id, text), keep in zip(rows, brute_all(rows)):
+        lines = (text or "").split("\n")
+        gone = sorted(set(range(len(lines))) - set(keep))
+        same += got[doc_id] == ",".join(map(str, gone))
+        short += sum(len(lines[n]) < 20 for n in gone)
+    assert same >= 0.99 * len(rows) and short > 0
