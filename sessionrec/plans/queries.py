@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,11 +42,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 BASE_RULE = cf.RULES[0]
 GENERATORS = mg.ALL_GENERATORS
 VOTE = "cand_feature_selected_score"
-RANK_FEATURES = [
-    "cand_feature_selected_num",
-    VOTE,
-    *[f"{g.name}_{c}" for g in GENERATORS for c in ("score", "score_rank")],
-]
 # Scores with a trend term are tiny: shown in millionths.
 TINY = [f"{r.name}_{a}" for r in cf.RULES if r.trend for a in ("sum", "last")]
 
@@ -195,9 +190,17 @@ def _votes(logs: Logs) -> DataFrame:
 
 
 def _merged(logs: Logs) -> DataFrame:
-    """Everything a ranker needs: scores, votes, targets, folds."""
+    """Everything a ranker needs: scores, votes, targets, folds, features."""
     labelled = st.materialize(mg.label_candidates(_wide(logs), logs.labels), "labelled")
-    return st.materialize(mg.add_votes(mg.add_folds(labelled), GENERATORS), "merged")
+    merged = st.materialize(mg.add_votes(mg.add_folds(labelled), GENERATORS), "merged")
+    built = [(t, st.materialize(df, t.build.__name__)) for t, df in build_features(logs.train, logs.test)]
+    return st.materialize(merge_features(merged, built), "featured")
+
+
+def _rank_features(merged: DataFrame) -> list[str]:
+    """Every generator column, vote and feature, as ``Pipeline.feature_names`` gives them."""
+    keys = {"session", "aid", "fold"}
+    return [c for c in merged.columns if c not in keys and not c.startswith(("target_", "no_target_"))]
 
 
 def _scores_wide(s, d):
@@ -392,8 +395,9 @@ def _rank(kind: str, target: str, **params) -> Query:
     def run(s, d):
         merged = _merged(Logs(s, d))
         sampled = st.materialize(sp.sample_negatives(merged), "sampled")
-        models = rk.train_folds(sampled, target, RANK_FEATURES, kind=kind, **params)
-        return rk.predict_folds(models, merged, target, RANK_FEATURES, kind)
+        names = _rank_features(merged)
+        models = rk.train_folds(sampled, target, names, kind=kind, **params)
+        return rk.predict_folds(models, merged, target, names, kind)
 
     return run
 
@@ -405,8 +409,9 @@ _LINEAR = {"rounds": 2, "iterations": 10, "start_score": VOTE}
 def _score_candidates(s, d):
     merged = _merged(Logs(s, d))
     sampled = st.materialize(sp.sample_negatives(merged), "sampled")
-    models = rk.train_folds(sampled, "target_buy", RANK_FEATURES, kind="pairwise", **_LINEAR)
-    scores = rk.predict_folds(models, merged, "target_buy", RANK_FEATURES, "pairwise")
+    names = _rank_features(merged)
+    models = rk.train_folds(sampled, "target_buy", names, kind="pairwise", **_LINEAR)
+    scores = rk.predict_folds(models, merged, "target_buy", names, "pairwise")
     stored = st.read_stage(s, rk.write_scores(scores, st.stage_path(s, "scores")), scores.schema)
     score = F.col("pred_score")
     known = score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
@@ -415,8 +420,10 @@ def _score_candidates(s, d):
 
 def _importance(s, d):
     sampled = st.materialize(sp.sample_negatives(_merged(Logs(s, d))), "sampled")
-    models = rk.train_folds(sampled, "target_click", RANK_FEATURES, **_TREES)
-    found = rk.feature_importance(s, models, RANK_FEATURES)
+    names = _rank_features(sampled)
+    models = rk.train_folds(sampled, "target_click", names, **_TREES)
+    # The default keeps the first 200 names; every feature is listed here.
+    found = rk.feature_importance(s, models, names, top=len(names))
     total = found.agg(F.round(F.sum("importance"), 6).alias("total"))
     # A model's importances add up to one: the sum over folds is their number.
     return found.join(total, F.col("importance") >= 0).select("feature", "total")
@@ -425,13 +432,17 @@ def _importance(s, d):
 def _model_roundtrip(s, d):
     merged = _merged(Logs(s, d))
     sampled = st.materialize(sp.sample_negatives(merged), "sampled")
-    model = rk.train_folds(sampled, "target_click", RANK_FEATURES, (0,), **_TREES)[0]
-    path = st.stage_path(s, "model")
-    model.write().overwrite().save(path)
-    before = rk.predict_pointwise(model, merged)
-    after = rk.predict_pointwise(rk.PipelineModel.load(path), merged).withColumnRenamed("pred_score", "again")
-    same = F.col("pred_score").eqNullSafe(F.col("again"))
-    return before.join(after, ["session", "aid"]).select("session", "aid", same.alias("same"))
+    models = rk.train_folds(sampled, "target_click", _rank_features(merged), **_TREES)
+    parts = []
+    for fold, model in models.items():
+        path = st.stage_path(s, f"model-{fold}")
+        model.write().overwrite().save(path)
+        rows = merged.filter(F.col("fold") == fold)
+        before = rk.predict_pointwise(model, rows)
+        after = rk.predict_pointwise(rk.load_model(path, "pointwise"), rows).withColumnRenamed("pred_score", "again")
+        same = F.col("pred_score").eqNullSafe(F.col("again"))
+        parts.append(before.join(after, ["session", "aid"]).select("session", "aid", same.alias("same")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- preprocessing ------------------------------------------------------------
