@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sessionrec.llm import (
     decontamination,
+    conversation_trie,
     exact_dedup,
+    filter_audit,
     language_id,
     license_scan,
     line_dedup,
+    multi_order_join,
     packing,
     ring_sharding,
     secret_scan,
@@ -32,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": token_files.op8_token_files,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_conversation_trie": conversation_trie.op12_conversation_trie,
+        "op13_ngram_join": multi_order_join.op13_ngram_join,
     }
 
 
@@ -39,4 +45,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op9_decontamination": decontamination.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
+        "op12_conversation_trie": conversation_trie.ORACLE,
     }
