@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import sys
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -42,12 +41,15 @@ ROWS = 128
 UNKNOWN = "und"
 
 
-@cache
+_KEPT: dict[str, np.ndarray] = {}
+
+
 def _letters() -> np.ndarray:
-    """Code point -> is a letter."""
-    return np.frombuffer(
-        bytes(chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=np.uint8
-    ).astype(bool)
+    """Code point -> is a letter; made once in a task."""
+    if "letters" not in _KEPT:
+        points = range(sys.maxunicode + 1)
+        _KEPT["letters"] = np.frombuffer(bytes(chr(c).isalpha() for c in points), dtype=np.uint8).astype(bool)
+    return _KEPT["letters"]
 
 
 def ngram_counts(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray | None:

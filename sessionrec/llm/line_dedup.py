@@ -100,7 +100,6 @@ def bands(signature: np.ndarray, count: int = BANDS, rows: int = BAND_ROWS) -> n
     return keys.view(np.int64)
 
 
-@lru_cache(maxsize=512)
 def shingles(line: str, width: int = SHINGLE) -> frozenset:
     return frozenset(line[i : i + width] for i in range(max(1, len(line) - width + 1)))
 
@@ -170,10 +169,12 @@ class LineDedup:
         """(a, b, size_a, size_b, common) in shingles, for every pair."""
 
         def run(batches):
+            # Pairs of one line come together; the cache goes with the task.
+            parts = lru_cache(maxsize=4)(self.parts)
             for batch in batches:
                 out = []
                 for x, y in zip(batch["line_a"].to_pylist(), batch["line_b"].to_pylist()):
-                    x, y = self.parts(x), self.parts(y)
+                    x, y = parts(x), parts(y)
                     out.append((len(x), len(y), len(x & y)))
                 columns = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 3)]
                 names = ["a", "b", "size_a", "size_b", "common"]

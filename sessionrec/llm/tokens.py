@@ -77,7 +77,7 @@ _OPEN: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer and cache per Python worker."""
+    """One tokenizer and cache per task."""
     if path not in _OPEN:
         _OPEN[path] = WordTokenizer(path)
     return _OPEN[path]
