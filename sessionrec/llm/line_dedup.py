@@ -25,7 +25,7 @@ columns are kept by ``dedup_text`` and ignored elsewhere.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -120,8 +120,9 @@ class LineDedup:
         self.band_rows = band_rows
         self.least = least
 
-    def parts(self, line: str) -> frozenset:
-        return shingles(line, self.width)
+    def parts(self):
+        """A function from a line to its shingles, for tasks."""
+        return partial(shingles, width=self.width)
 
     def lines(self, docs: DataFrame) -> DataFrame:
         """doc_id, body, number, line, h1, h2 of every line that may be dropped.
@@ -139,13 +140,15 @@ class LineDedup:
     def signed(self, lines: DataFrame) -> DataFrame:
         """Lines with their band keys in place of the text; none for lines under a shingle."""
 
+        width, count, rows = self.width, self.bands, self.band_rows
+
         def run(batches):
             for batch in batches:
                 lines = batch["line"].to_pylist()
-                signed = np.array([len(x) >= self.width for x in lines], bool)
-                long = [x for x in lines if len(x) >= self.width]
-                keys = bands(signatures(long, self.width, self.bands * self.band_rows), self.bands, self.band_rows)
-                offsets = np.concatenate([[0], np.cumsum(signed * self.bands)]).astype(np.int32)
+                signed = np.array([len(x) >= width for x in lines], bool)
+                long = [x for x in lines if len(x) >= width]
+                keys = bands(signatures(long, width, count * rows), count, rows)
+                offsets = np.concatenate([[0], np.cumsum(signed * count)]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
                 names = ["doc_id", "body", "number", "h1", "h2"]
                 yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], column], [*names, "keys"])
@@ -168,9 +171,11 @@ class LineDedup:
     def compared(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """(a, b, size_a, size_b, common) in shingles, for every pair."""
 
+        shingled = self.parts()
+
         def run(batches):
             # Pairs of one line come together; the cache goes with the task.
-            parts = lru_cache(maxsize=4)(self.parts)
+            parts = lru_cache(maxsize=4)(shingled)
             for batch in batches:
                 out = []
                 for x, y in zip(batch["line_a"].to_pylist(), batch["line_b"].to_pylist()):
@@ -232,6 +237,8 @@ class LineDedup:
         )
         met = met.repartition("head", "i", "j").sortWithinPartitions("head", "i", "j", "side", "node")
 
+        shingled, similarity = self.parts(), self.similarity
+
         def run(batches):
             cell, first, index, links = None, [], {}, []
 
@@ -246,7 +253,7 @@ class LineDedup:
                         if links:
                             yield out()
                         cell, first, index, links = (head, i, j), [], {}, []
-                    own = self.parts(line)
+                    own = shingled(line)
                     if side == 0:
                         for shingle in own:
                             index.setdefault(shingle, []).append(len(first))
@@ -260,7 +267,7 @@ class LineDedup:
                         a, other, size = first[k]
                         shared = int(common[k])
                         if other != group and (not apart or a > node):
-                            if shared >= self.similarity * (size + len(own) - shared):
+                            if shared >= similarity * (size + len(own) - shared):
                                 links.append((a, node))
             if links:
                 yield out()
