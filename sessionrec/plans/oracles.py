@@ -518,6 +518,13 @@ for _c in _FEATURES_INT:
     _FILL[_c] = 0 if re.match(r"item_.*_(num|rank)_|user_item_is_", _c) else -1
 _FILL |= {c: 0 for c in _ITEM_TS + _USER_TS}
 _FILL |= {c: -1 for c in _USER_GAPS + _PROBS + _MULTI}
+# Everything a ranker reads: votes, generator columns and the thirteen feature tables.
+_RANK_FEATURES = [
+    *[f"cand_feature_selected_{c}" for c in ("num", "score", "rank", "min_rank")],
+    *[f"{g}_score" for g in GENERATORS],
+    *_KEPT,
+    *_FILL,
+]
 
 
 def _features() -> str:
@@ -637,17 +644,19 @@ def oracle_sql() -> dict[str, str]:
           round(CAST(p.cand_feature_selected_score AS DOUBLE) - n.cand_feature_selected_score, 6) AS vote_diff
           FROM (SELECT * FROM ranked_click WHERE target_click = 1) p
           JOIN (SELECT * FROM ranked_click WHERE target_click = 0) n USING (session)""",
+        "lambda_gradients": """SELECT session, aid, round(gradient, 6) + 0e0 AS gradient,
+          round(hessian, 6) AS hessian FROM lambda_rows""",
+        "lambda_root_splits": """SELECT 'cand_feature_selected_num' AS feature, bin, n,
+          round(g, 4) + 0e0 AS g, round(h, 4) AS h,
+          round(g * g / (h + 1e0) + (g_all - g) * (g_all - g) / (h_all - h + 1e0) - g_all * g_all / (h_all + 1e0), 4) + 0e0 AS gain
+          FROM lambda_bins WHERE n >= 20 AND n_all - n >= 20""",
         "candidates_with_features": _features(),
         "model_roundtrip": "SELECT session, aid, TRUE AS same FROM labelled",
         "score_candidates": """SELECT session, aid, 'pairwise' AS model, 'target_buy' AS target, fold,
           TRUE AS finite FROM folded""",
         "feature_importance": " UNION ALL ".join(
             f"SELECT '{name}' AS feature, 3e0 AS total"
-            for name in (
-                "cand_feature_selected_num",
-                "cand_feature_selected_score",
-                *[f"{g}_{c}" for g in GENERATORS for c in ("score", "score_rank")],
-            )
+            for name in _RANK_FEATURES
         ),
         "topk_lists": """SELECT session, string_agg(aid, ',' ORDER BY cand_feature_selected_rank) AS y_pred
           FROM votes WHERE cand_feature_selected_rank <= 20 GROUP BY session""",
@@ -718,3 +727,25 @@ CTES["ranked_click"] = """
           row_number() OVER (PARTITION BY s.session ORDER BY v.cand_feature_selected_score DESC, s.aid) AS r
         FROM trained s JOIN votes v ON v.session = s.session AND v.aid = s.aid
         WHERE s.no_target_click = 0)"""
+CTES["lambda_pairs"] = """
+  SELECT p.session, p.aid AS pos, n.aid AS neg,
+         abs(p.d - n.d) / list_sum([1e0 / log2(i + 1) FOR i IN range(1, CAST(least(p.n, 20) AS BIGINT) + 1)]) AS worth,
+         1e0 / (1e0 + exp(CAST(p.cand_feature_selected_score AS DOUBLE) - n.cand_feature_selected_score)) AS behind
+  FROM ranked_click p JOIN ranked_click n USING (session) WHERE p.target_click = 1 AND n.target_click = 0"""
+CTES["lambda_rows"] = """
+  SELECT r.session, r.aid, coalesce(s.g, 0e0) AS gradient, coalesce(s.h, 0e0) AS hessian
+  FROM ranked_click r LEFT JOIN (
+    SELECT session, aid, sum(g) AS g, sum(h) AS h FROM (
+      SELECT session, pos AS aid, -worth * behind AS g, worth * behind * (1e0 - behind) AS h FROM lambda_pairs
+      UNION ALL
+      SELECT session, neg, worth * behind, worth * behind * (1e0 - behind) FROM lambda_pairs)
+    GROUP BY session, aid) s USING (session, aid)"""
+CTES["lambda_bins"] = """
+  SELECT bin, CAST(sum(n) OVER up AS BIGINT) AS n, sum(g) OVER up AS g, sum(h) OVER up AS h,
+         sum(n) OVER () AS n_all, sum(g) OVER () AS g_all, sum(h) OVER () AS h_all
+  FROM (SELECT CAST(greatest(cand_feature_selected_num - 1, 0) AS INT) AS bin, count(*) AS n,
+          -- sums in whole units, as the histograms hold them
+          sum(CAST(round(gradient * 16777216) AS BIGINT)) / 16777216e0 AS g,
+          sum(CAST(round(hessian * 16777216) AS BIGINT)) / 16777216e0 AS h
+        FROM lambda_rows JOIN votes USING (session, aid) GROUP BY 1)
+  WINDOW up AS (ORDER BY bin)"""

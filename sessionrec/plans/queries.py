@@ -22,6 +22,7 @@ from sessionrec.operators import features_item as fi
 from sessionrec.operators import features_user as fu
 from sessionrec.operators import item2vec as i2v
 from sessionrec.operators import item_cf as cf
+from sessionrec.operators import lambdamart as lm
 from sessionrec.operators import merge as mg
 from sessionrec.operators import rankers as rk
 from sessionrec.operators import sampling as sp
@@ -42,6 +43,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 BASE_RULE = cf.RULES[0]
 GENERATORS = mg.ALL_GENERATORS
 VOTE = "cand_feature_selected_score"
+VOTE_COUNT = "cand_feature_selected_num"
 # Scores with a trend term are tiny: shown in millionths.
 TINY = [f"{r.name}_{a}" for r in cf.RULES if r.trend for a in ("sum", "last")]
 
@@ -189,10 +191,15 @@ def _votes(logs: Logs) -> DataFrame:
     return mg.add_votes(_wide(logs), GENERATORS)
 
 
+def _voted(logs: Logs) -> DataFrame:
+    """Labelled candidates with scores, votes and folds."""
+    labelled = st.materialize(mg.label_candidates(_wide(logs), logs.labels), "labelled")
+    return st.materialize(mg.add_votes(mg.add_folds(labelled), GENERATORS), "merged")
+
+
 def _merged(logs: Logs) -> DataFrame:
     """Everything a ranker needs: scores, votes, targets, folds, features."""
-    labelled = st.materialize(mg.label_candidates(_wide(logs), logs.labels), "labelled")
-    merged = st.materialize(mg.add_votes(mg.add_folds(labelled), GENERATORS), "merged")
+    merged = _voted(logs)
     built = [(t, st.materialize(df, t.build.__name__)) for t, df in build_features(logs.train, logs.test)]
     return st.materialize(merge_features(merged, built), "featured")
 
@@ -363,8 +370,7 @@ def _ndcg(s, d):
 
 
 def _pairwise(s, d):
-    sampled = rk.add_targets(sp.sample_negatives(_merged(Logs(s, d))))
-    rows = rk.with_target_rows(sampled, "target_click")
+    rows = rk.with_target_rows(rk.add_targets(sp.sample_negatives(_voted(Logs(s, d)))), "target_click")
     found = rk.pairwise_examples(rows, "target_click", [VOTE], VOTE)
     return found.select(
         "session",
@@ -402,6 +408,29 @@ def _rank(kind: str, target: str, **params) -> Query:
     return run
 
 
+def _boosted(s, d) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Merged candidates, their sample and the feature names."""
+    merged = _merged(Logs(s, d))
+    return merged, st.materialize(sp.sample_negatives(merged), "sampled"), _rank_features(merged)
+
+
+def _rank_lambdamart(s, d):
+    merged, sampled, names = _boosted(s, d)
+    models = lm.train_folds(sampled, "target_order", names, trees=4, depth=3, start_score=VOTE)
+    return lm.predict_folds(models, merged, "target_order")
+
+
+def _lambda_gradients(s, d):
+    rows = rk.with_target_rows(rk.add_targets(sp.sample_negatives(_voted(Logs(s, d)))), "target_click")
+    return _rounded(lm.gradients(rows, "target_click", VOTE).select("session", "aid", "gradient", "hessian"))
+
+
+def _lambda_split(s, d):
+    rows = rk.with_target_rows(rk.add_targets(sp.sample_negatives(_voted(Logs(s, d)))), "target_click")
+    cuts = {VOTE_COUNT: [float(c) for c in range(1, len(GENERATORS))]}
+    return _rounded(lm.root_splits(rows, "target_click", cuts, VOTE), 4)
+
+
 _TREES = {"trees": 5, "depth": 3}
 _LINEAR = {"rounds": 2, "iterations": 10, "start_score": VOTE}
 
@@ -579,6 +608,9 @@ def queries() -> dict[str, Query]:
         "pairwise_examples": _pairwise,
         "rank_pointwise": _rank("pointwise", "target_click", **_TREES),
         "rank_pairwise": _rank("pairwise", "target_order", **_LINEAR),
+        "rank_lambdamart": _rank_lambdamart,
+        "lambda_gradients": _lambda_gradients,
+        "lambda_root_splits": _lambda_split,
         "score_candidates": _score_candidates,
         "feature_importance": _importance,
         "model_roundtrip": _model_roundtrip,
