@@ -28,6 +28,7 @@ def fails(doc, docs):
 
 
 def brute(docs, labels):
+    labels = [x for x in labels if x[0] is not None]
     out, good, toxic = {}, {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
     for part in {d[3] or "" for d in docs}:
         own = [(d[0], fails(d, docs)) for d in docs if (d[3] or "") == part]
