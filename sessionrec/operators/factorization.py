@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sessionrec.functions import columns as C
 from sessionrec.functions.order import following, newest_first
-from sessionrec.operators.sessions import dense_ids, value_counts
+from sessionrec.operators.sessions import dense_ids, strict_lookup, value_counts
 from sessionrec.operators.vectors import as_candidates, vector_topk
 from sessionrec.sources.events import eligible_events
 from sessionrec.sources.stages import materialize
@@ -40,14 +40,14 @@ def lag_pairs(
     events: DataFrame, ids: DataFrame, count: int = 4, hot: DataFrame | None = None
 ) -> DataFrame:
     """Each event with the next ``count`` earlier events of its session."""
-    indexed = events.join(ids, "aid").select("session", "aid_idx", "ts", "eid")
+    indexed = strict_lookup(events, ids, "aid").select("session", "aid_idx", "ts", "eid")
     pairs = following(indexed, ["session"], newest_first(), ["aid_idx", "ts"], count, hot)
     return pairs.select("aid_idx", "next_aid_idx", (F.col("ts") - F.col("next_ts")).alias("ts_diff"))
 
 
 def pair_coefs(pairs: DataFrame, events: DataFrame, ids: DataFrame) -> DataFrame:
     """Lag pairs with both coefficients: rarer items and shorter gaps count more."""
-    sizes = value_counts(events.join(ids, "aid"), "aid_idx")
+    sizes = value_counts(strict_lookup(events, ids, "aid"), "aid_idx")
     x = sizes.withColumnRenamed("counts", "_nx")
     y = sizes.select(F.col("aid_idx").alias("next_aid_idx"), F.col("counts").alias("_ny"))
     return (

@@ -50,3 +50,20 @@ def dense_ids(df: DataFrame, column: str, out: str) -> DataFrame:
     """Consecutive ids from 0 in the order of ``column``."""
     placed = global_positions(df.select(column).distinct(), [F.col(column).asc()], out)
     return placed.withColumn(out, F.col(out).cast("int"))
+
+
+def strict_lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``df`` with the other columns of ``table``, which has one row per key.
+
+    A key without a row (a null key too) fails the job with its name instead of dropping
+    the row. The check is part of the one join that fetches the values.
+    """
+    kinds = dict(table.dtypes)
+    marked = table.withColumn("_known", F.lit(True))
+    missing = F.raise_error(F.concat(F.lit(f"no row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    found = {
+        c: F.when(F.col("_known").isNotNull(), F.col(c)).otherwise(missing.cast(kinds[c]))
+        for c in table.columns
+        if c != key
+    }
+    return df.join(marked, key, "left").withColumns(found).drop("_known")
