@@ -34,8 +34,8 @@ _FULL = np.uint64((1 << 64) - 1)
 _WORD = np.uint64((1 << 32) - 1)
 _32, _16 = np.uint64(32), np.uint64(16)
 
-_HEAD = struct.Struct("<4sII")
-_BLOCK = struct.Struct("<IIII")
+_HEAD = "<4sII"
+_BLOCK = "<IIII"
 MAGIC = b"CMR1"
 
 
@@ -235,7 +235,7 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS, lanes: int = LANES) -> b
     if len(ids) and not 0 <= ids.min() <= ids.max() < WHOLE:
         raise ValueError("ids must be from 0 to 65,535")
     count = -(-len(ids) // block_ids)
-    out = [_HEAD.pack(MAGIC, block_ids, count)]
+    out = [struct.pack(_HEAD, MAGIC, block_ids, count)]
     for first in range(0, count, lanes):
         part = ids[first * block_ids : (first + lanes) * block_ids]
         n = -(-len(part) // block_ids)
@@ -245,26 +245,26 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS, lanes: int = LANES) -> b
         square = square.reshape(n, block_ids)[:, : lengths.max()]
         for i, payload in enumerate(_encode_lanes(square, lengths)):
             plain = square[i, : lengths[i]].astype("<u4").tobytes()
-            out.append(_BLOCK.pack(lengths[i], len(payload), zlib.crc32(payload), zlib.crc32(plain)))
+            out.append(struct.pack(_BLOCK, lengths[i], len(payload), zlib.crc32(payload), zlib.crc32(plain)))
             out.append(payload)
     return b"".join(out)
 
 
 def decode(data: bytes, lanes: int = LANES) -> np.ndarray:
     """The ids of a coded file; raises ValueError where a checksum fails."""
-    if len(data) < _HEAD.size or data[:4] != MAGIC:
+    if len(data) < struct.calcsize(_HEAD) or data[:4] != MAGIC:
         raise ValueError("not a coded id file")
-    _, _, count = _HEAD.unpack_from(data)
-    at, blocks = _HEAD.size, []
+    _, _, count = struct.unpack_from(_HEAD, data)
+    at, blocks = struct.calcsize(_HEAD), []
     for b in range(count):
-        if len(data) < at + _BLOCK.size:
+        if len(data) < at + struct.calcsize(_BLOCK):
             raise ValueError(f"block {b} is cut off")
-        n, size, crc, ids_crc = _BLOCK.unpack_from(data, at)
-        payload = data[at + _BLOCK.size : at + _BLOCK.size + size]
+        n, size, crc, ids_crc = struct.unpack_from(_BLOCK, data, at)
+        payload = data[at + struct.calcsize(_BLOCK) : at + struct.calcsize(_BLOCK) + size]
         if len(payload) != size or zlib.crc32(payload) != crc:
             raise ValueError(f"block {b} is damaged")
         blocks.append((n, payload, ids_crc))
-        at += _BLOCK.size + size
+        at += struct.calcsize(_BLOCK) + size
     out = []
     for first in range(0, count, lanes):
         part = blocks[first : first + lanes]

@@ -35,7 +35,7 @@ FILE_IDS = 4_000_000
 FILE_SCHEMA = "part int, seq int, n_docs long, n_ids long, data binary"
 DOC_SCHEMA = "part int, seq int, place int, doc_id long, before long, n_tokens long, ids binary"
 
-_INDEX = struct.Struct("<4sII")
+_INDEX = "<4sII"
 MAGIC = b"IDF1"
 
 
@@ -43,22 +43,22 @@ def pack_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) ->
     """Index (nulls, ids, lengths) with its checksum, then the coded ids."""
     nulls = np.packbits([d is None for d in doc_ids]).tobytes() if doc_ids else b""
     index = nulls + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<i8").tobytes()
-    return _INDEX.pack(MAGIC, len(doc_ids), zlib.crc32(index)) + index + encode(ids)
+    return struct.pack(_INDEX, MAGIC, len(doc_ids), zlib.crc32(index)) + index + encode(ids)
 
 
 def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc ids, lengths, ids); raises ValueError where a checksum fails."""
-    if len(data) < _INDEX.size or data[:4] != MAGIC:
+    if len(data) < struct.calcsize(_INDEX) or data[:4] != MAGIC:
         raise ValueError("not a token-id file")
-    _, n, crc = _INDEX.unpack_from(data)
+    _, n, crc = struct.unpack_from(_INDEX, data)
     bits = -(-n // 8)
-    index = data[_INDEX.size : _INDEX.size + bits + 16 * n]
+    index = data[struct.calcsize(_INDEX) : struct.calcsize(_INDEX) + bits + 16 * n]
     if len(index) != bits + 16 * n or zlib.crc32(index) != crc:
         raise ValueError("the index is damaged")
     nulls = np.unpackbits(np.frombuffer(index[:bits], np.uint8))[:n]
     numbers = np.frombuffer(index[bits : bits + 8 * n], "<i8")
     lengths = np.frombuffer(index[bits + 8 * n :], "<i8")
-    ids = decode(data[_INDEX.size + len(index) :])
+    ids = decode(data[struct.calcsize(_INDEX) + len(index) :])
     if len(ids) != lengths.sum():
         raise ValueError("index and ids differ")
     return [None if gone else int(d) for d, gone in zip(numbers, nulls)], lengths, ids
