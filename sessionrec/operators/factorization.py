@@ -1,8 +1,9 @@
 """Factorisation of consecutive items and of session-item events.
 
 Training pairs, weights and eligibility are DataFrame jobs. Vectors come from Spark
-ML's ALS (default) or from full-batch BPR epochs with Adam, in which every step is
-a join with the current vectors, a gradient per Arrow batch and a sum per id.
+ML's ALS (default), from BPR in mini-batches over disjoint blocks of vectors
+(``operators.block_bpr``), or from full-batch BPR epochs with Adam, in which every step
+is a join with the current vectors, a gradient per Arrow batch and a sum per id.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sessionrec.functions import columns as C
 from sessionrec.functions.order import following, newest_first
+from sessionrec.operators.block_bpr import block_bpr
 from sessionrec.operators.sessions import dense_ids, strict_lookup, value_counts
 from sessionrec.operators.vectors import as_candidates, vector_topk
 from sessionrec.sources.events import eligible_events
@@ -269,6 +271,17 @@ def bpr(
     return best[0], best[1], losses
 
 
+def item_examples(coefs: DataFrame) -> DataFrame:
+    """Examples of consecutive items; their gap tells repeats of two items apart."""
+    return coefs.select(
+        F.col("aid_idx").alias("x"),
+        F.col("next_aid_idx").alias("y"),
+        F.col("ts_diff").alias("key"),
+        "coef_x",
+        "coef_y",
+    )
+
+
 def item_bpr(
     coefs: DataFrame,
     ids: DataFrame,
@@ -277,18 +290,27 @@ def item_bpr(
     lr: float = 0.3,
     seed: int = 77,
     score: Callable[[DataFrame], float] | None = None,
+    blocks: int = 8,
+    batch: int | None = 4096,
+    folder: str | None = None,
 ) -> tuple[DataFrame, list[float]]:
-    """Item vectors by BPR on consecutive items: aid, vec, and the loss per epoch."""
-    examples = coefs.select(
-        F.col("aid_idx").alias("x"), F.col("next_aid_idx").alias("y"), "coef_x", "coef_y"
-    )
+    """Item vectors by BPR on consecutive items: aid, vec, and the loss per epoch.
+
+    ``batch`` None: full-batch steps. ``folder``: a run that was lost goes on from there.
+    """
+    examples = item_examples(coefs)
 
     def named(table: DataFrame) -> DataFrame:
         return table.join(ids, F.col("id") == F.col("aid_idx")).select("aid", "vec")
 
     judge = None if score is None else lambda a, b: score(named(a))
     start = initial_vectors(ids, "aid_idx", factors, seed)
-    table, _, losses = bpr(examples, start, None, factors, epochs, lr, seed, judge)
+    if batch is None:
+        table, _, losses = bpr(examples.drop("key"), start, None, factors, epochs, lr, seed, judge)
+    else:
+        table, _, losses = block_bpr(
+            examples, start, None, epochs, lr, blocks, batch=batch, seed=seed, score=judge, folder=folder
+        )
     return named(table), losses
 
 
@@ -301,10 +323,14 @@ def user_bpr(
     lr: float = 0.01,
     seed: int = 77,
     score: Callable[[DataFrame, DataFrame], float] | None = None,
+    blocks: int = 8,
+    batch: int | None = 4096,
+    folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame, list[float]]:
     """Session and item vectors by BPR: (session, vec), (aid, vec), loss per epoch.
 
-    ``score`` judges the two tables after each epoch, and the best ones are kept.
+    ``score`` judges the two tables after each epoch, and the best ones are kept. ``batch``
+    None: full-batch steps. ``folder``: a run that was lost goes on from there.
     """
     examples = weights.join(items, "aid").join(sessions, "session").select(
         F.col("session_idx").alias("x"),
@@ -319,16 +345,16 @@ def user_bpr(
             right.join(items, F.col("id") == F.col("aid_idx")).select("aid", "vec"),
         )
 
-    left, right, losses = bpr(
-        examples,
-        initial_vectors(sessions, "session_idx", factors, seed),
-        initial_vectors(items, "aid_idx", factors, seed + 1),
-        factors,
-        epochs,
-        lr,
-        seed,
-        None if score is None else lambda a, b: score(*named(a, b)),
-    )
+    judge = None if score is None else lambda a, b: score(*named(a, b))
+    users = initial_vectors(sessions, "session_idx", factors, seed)
+    start = initial_vectors(items, "aid_idx", factors, seed + 1)
+    if batch is None:
+        left, right, losses = bpr(examples, users, start, factors, epochs, lr, seed, judge)
+    else:
+        keyed = examples.withColumn("key", F.lit(0))
+        left, right, losses = block_bpr(
+            keyed, users, start, epochs, lr, blocks, batch=batch, seed=seed, score=judge, folder=folder
+        )
     return (*named(left, right), losses)
 
 

@@ -612,6 +612,11 @@ def oracle_sql() -> dict[str, str]:
                 JOIN vecs z ON z.aid = iz.aid
                 JOIN (SELECT next_aid_idx, 1e0 / max(coef_y) AS n FROM coefs GROUP BY next_aid_idx) s
                   ON s.next_aid_idx = iz.aid_idx)""",
+        "bpr_strata": """SELECT round, cell, slice, CAST(sum(n) AS BIGINT) AS weight,
+            round(-sum(n * ln(1e-10 + chance)) / sum(n), 6) AS loss,
+            round(sum(-chance * (1e0 - chance) / (1e-10 + chance) * n
+              * (cp * sy - cn * sn + cp * sx - cn * sx)) / sum(n), 6) AS gradient
+          FROM bpr_steps GROUP BY round, cell, slice""",
         "item_cf_pairs": " UNION ALL ".join(_pair_rows(f"r{i}", r) for i, r in enumerate(RULES, 1)),
         "item_cf_future": _pair_rows("future", PairRule(future=True)),
         "item_cf_no_self": _pair_rows("noself", PairRule(drop_self=True)),
@@ -716,6 +721,29 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql(text) for name, text in q.items()}
 
 
+CTES["bpr_dealt"] = """
+  SELECT *, greatest(ceil(count(*) OVER (PARTITION BY round, cell) / 5000e0), 1)::BIGINT AS slices
+  FROM (SELECT c.aid_idx AS x, next_aid_idx AS y, coef_x, coef_y, count(*) AS n,
+               CAST((c.aid_idx % 4 + next_aid_idx % 4) % 4 AS INT) AS round,
+               CAST(least(c.aid_idx % 4, next_aid_idx % 4) AS INT) AS cell,
+               CAST('0x' || substr(md5(concat_ws(':', c.aid_idx, next_aid_idx, ts_diff, 77)), 1, 13) AS BIGINT) AS draw
+        FROM coefs c WHERE c.aid_idx IN (SELECT aid_idx FROM ids JOIN vecs USING (aid))
+          AND next_aid_idx IN (SELECT aid_idx FROM ids JOIN vecs USING (aid))
+        GROUP BY c.aid_idx, next_aid_idx, ts_diff, coef_x, coef_y)"""
+CTES["bpr_placed"] = """
+  SELECT *, row_number() OVER (p ORDER BY draw, x, y, coef_x, coef_y) - 1 AS place, count(*) OVER p AS size
+  FROM (SELECT *, draw % slices AS slice FROM bpr_dealt)
+  WINDOW p AS (PARTITION BY round, cell, slice)"""
+CTES["bpr_steps"] = """
+  SELECT a.round, a.cell, a.slice, a.n, a.coef_x * a.coef_y AS cp, a.coef_x * o.coef_y AS cn,
+         list_inner_product(vx.vec, vy.vec) AS pos, list_inner_product(vx.vec, vn.vec) AS neg,
+         list_sum(vx.vec) AS sx, list_sum(vy.vec) AS sy, list_sum(vn.vec) AS sn,
+         1e0 / (1e0 + exp(neg * cn - pos * cp)) AS chance
+  FROM bpr_placed a JOIN bpr_placed o
+    ON o.round = a.round AND o.cell = a.cell AND o.slice = a.slice AND o.place = (a.draw // a.slices) % a.size
+  JOIN ids ix ON ix.aid_idx = a.x JOIN vecs vx ON vx.aid = ix.aid
+  JOIN ids iy ON iy.aid_idx = a.y JOIN vecs vy ON vy.aid = iy.aid
+  JOIN ids jn ON jn.aid_idx = o.y JOIN vecs vn ON vn.aid = jn.aid"""
 CTES["popular"] = """
   SELECT type, aid, n FROM (SELECT type, aid, count(*) AS n FROM tr GROUP BY type, aid)
   QUALIFY row_number() OVER (PARTITION BY type ORDER BY n DESC, aid) <= 20"""

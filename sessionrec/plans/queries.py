@@ -17,6 +17,7 @@ from sessionrec.functions.order import (
     top_k,
 )
 from sessionrec.operators import evaluation as ev
+from sessionrec.operators import block_bpr as bb
 from sessionrec.operators import factorization as fz
 from sessionrec.operators import features_item as fi
 from sessionrec.operators import features_user as fu
@@ -260,6 +261,15 @@ def _bpr_loss(s, d):
     return _rounded(fz.pair_losses(coefs, fx.item_embeddings(s, d), ids))
 
 
+def _bpr_strata(s, d):
+    coefs, ids = _coefs(s, d)
+    vectors = fx.item_embeddings(s, d).join(ids, "aid").select(F.col("aid_idx").alias("id"), "vec")
+    examples = fz.item_examples(coefs)
+    for side in ("x", "y"):
+        examples = examples.join(vectors.select(F.col("id").alias(side)), side, "left_semi")
+    return _rounded(bb.stratum_losses(examples, vectors, blocks=4, slice_rows=5000), 6)
+
+
 def _item_vectors(s, d):
     coefs, ids = _coefs(s, d)
     return fz.item_factors(coefs, ids, rank=16, iterations=5)
@@ -555,6 +565,7 @@ def queries() -> dict[str, Query]:
         "pair_coefs": _pair_coefs,
         "user_item_weights": lambda s, d: _rounded(fz.user_item_weights(_train(s, d), _test(s, d))),
         "bpr_loss": _bpr_loss,
+        "bpr_strata": _bpr_strata,
         "item_cf_pairs": _rule_query(*cf.RULES),
         "item_cf_future": _rule_query(cf.PairRule(future=True)),
         "item_cf_no_self": _rule_query(cf.PairRule(drop_self=True), top=20),
