@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from math import cos, pi
+from math import ceil, cos, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -54,31 +54,32 @@ class Strata:
     weight: float
 
 
-def deal(examples: DataFrame, shared: bool, blocks: int, slice_rows: int, seed: int = 77) -> Strata:
+def deal(examples: DataFrame, shared: bool, blocks: int | None, slice_rows: int, seed: int = 77) -> Strata:
     """Strata of ``examples``: x, y, key, coef_x, coef_y.
 
     ``key`` tells apart examples of the same two ids. ``shared``: both sides are ids of one
-    table. Written once to the shared folder, by round.
+    table. Without ``blocks`` there are as many, up to 64, as make the mean cell a slice.
+    Written once to the shared folder, by round.
     """
+    spark = examples.sparkSession
+    unique = materialize(
+        examples.groupBy("x", "y", "key", "coef_x", "coef_y").agg(F.count(F.lit(1)).alias("n")), "examples"
+    )
+    if blocks is None:
+        blocks = min(64, max(1, ceil(sqrt(unique.count() / slice_rows))))
     if not 1 <= blocks <= 256:
         raise ValueError("blocks must be 1 to 256")
-    spark = examples.sparkSession
     left, right = F.pmod("x", F.lit(blocks)), F.pmod("y", F.lit(blocks))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", "x", "y", "key", F.lit(seed))), 1, 13), 16, 10)
-    dealt = materialize(
-        examples.groupBy("x", "y", "key", "coef_x", "coef_y")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            F.pmod(left + right, F.lit(blocks)).cast("int").alias("round"),
-            (F.least(left, right) if shared else left).cast("int").alias("cell"),
-            F.col("x").cast("long").alias("x"),
-            F.col("y").cast("long").alias("y"),
-            "coef_x",
-            "coef_y",
-            "n",
-            draw.cast("long").alias("draw"),
-        ),
-        "dealt",
+    dealt = unique.select(
+        F.pmod(left + right, F.lit(blocks)).cast("int").alias("round"),
+        (F.least(left, right) if shared else left).cast("int").alias("cell"),
+        F.col("x").cast("long").alias("x"),
+        F.col("y").cast("long").alias("y"),
+        "coef_x",
+        "coef_y",
+        "n",
+        draw.cast("long").alias("draw"),
     )
     slices = F.ceil(F.count(F.lit(1)) / slice_rows).alias("slices")
     # At most blocks x blocks rows.
@@ -219,7 +220,7 @@ def block_bpr(
     right: DataFrame | None,
     epochs: int,
     lr: float,
-    blocks: int = 8,
+    blocks: int | None = None,
     slice_rows: int = 100_000,
     batch: int = 4096,
     seed: int = 77,
@@ -257,11 +258,11 @@ def block_bpr(
     for epoch in range(len(done), epochs):
         rate = lr * (1 + cos(pi * epoch / epochs)) / 2
         total = 0.0
-        for number in range(blocks):
+        for number in range(strata.blocks):
             parts = materialize(run_round(strata, number, state, shared, batch, rate, epoch), "round")
             total += float(parts.agg(F.sum(F.col("loss").cast("decimal(38,9)"))).first()[0] or 0)
             state = merged(state, parts)
-            if number < blocks - 1:
+            if number < strata.blocks - 1:
                 state = materialize(state, "vectors")
         path = write_stage(state, f"{home}/epoch-{epoch}")
         state = read_stage(spark, path, schema)

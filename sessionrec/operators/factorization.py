@@ -290,7 +290,7 @@ def item_bpr(
     lr: float = 0.3,
     seed: int = 77,
     score: Callable[[DataFrame], float] | None = None,
-    blocks: int = 8,
+    blocks: int | None = None,
     batch: int | None = 4096,
     folder: str | None = None,
 ) -> tuple[DataFrame, list[float]]:
@@ -323,7 +323,7 @@ def user_bpr(
     lr: float = 0.01,
     seed: int = 77,
     score: Callable[[DataFrame, DataFrame], float] | None = None,
-    blocks: int = 8,
+    blocks: int | None = None,
     batch: int | None = 4096,
     folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame, list[float]]:
