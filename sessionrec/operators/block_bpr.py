@@ -209,7 +209,9 @@ def _finished(spark: SparkSession, folder: str) -> list[tuple[float, float | Non
     """(loss, score) of the epochs that a former run completed, one row each."""
     try:
         rows = spark.read.parquet(f"{folder}/manifest").orderBy("epoch").collect()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
     return [(r["loss"], r["score"]) for r in rows]
 
