@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @cache
 def _local_dir(application: str) -> str:
@@ -34,12 +37,24 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/sessionrec/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession):
+    """Shuffle files of the writes inside go when each write ends: the table replaces them."""
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def write_stage(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
     """Persist a stage table as parquet."""
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with _shuffles_freed(df.sparkSession):
+        writer.parquet(path)
     return path
 
 
@@ -61,6 +76,29 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return read_stage(spark, path, schema)
 
 
+class Scratch:
+    """Tables of one computation in a folder of their own, dropped once nothing reads them.
+
+    A table may be dropped when every table made from it is written; what is returned to a
+    caller must read tables that stay.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = stage_path(spark, name)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written once under ``name`` and read back."""
+        schema = df.schema
+        return read_stage(self.spark, write_stage(df, f"{self.folder}/{name}"), schema)
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(conf).delete(path, True)
+
+
 def feature_columns(table: DataFrame, keys: tuple[str, ...]) -> list[str]:
     """Feature columns of a table: schema only, no job."""
     return [c for c in table.columns if c not in keys]
