@@ -5,7 +5,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from sessionrec.llm import language_id, line_dedup, multi_order_join, near_documents, simhash, tokens
+from sessionrec.llm import language_id, line_dedup, multi_order_join, simhash, tokens
 
 
 def test_task_functions_load_without_the_package(tmp_path):
@@ -13,7 +13,6 @@ def test_task_functions_load_without_the_package(tmp_path):
         (language_id.ngram_counts, ("some text",)),
         (simhash.fingerprint, ("some text",)),
         (line_dedup.LineDedup().parts(), ("some line of text",)),
-        (near_documents.NearDocuments().parts(), ("some line of text",)),
         (multi_order_join.shingle_hasher(5), ("one two three four five six",)),
         (tokens.pack_ids, ([1, 2],)),
     ]
