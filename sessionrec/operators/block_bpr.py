@@ -170,14 +170,15 @@ def _trainer(shared: bool, batch: int, lr: float, epoch: int) -> Callable:
 
 
 def run_round(
-    strata: Strata, number: int, state: DataFrame, shared: bool, batch: int, lr: float, epoch: int = 0
+    strata: Strata, number: int, state: DataFrame, shared: bool, batch: int, lr: float, epoch: int = 0,
+    trainer: Callable = _trainer,
 ) -> DataFrame:
     """Moved vectors of one round by slice; a slice's first row has its loss and weight."""
     here = F.col("round") == number
     members = strata.members.filter(here).drop("round").join(state, KEYS)
     examples = strata.examples.filter(here).drop("round")
-    trainer = _trainer(shared, batch, lr, epoch)
-    return examples.groupBy(*SLICE).cogroup(members.groupBy(*SLICE)).applyInPandas(trainer, PARTS)
+    step = trainer(shared, batch, lr, epoch)
+    return examples.groupBy(*SLICE).cogroup(members.groupBy(*SLICE)).applyInPandas(step, PARTS)
 
 
 def merged(state: DataFrame, parts: DataFrame) -> DataFrame:
@@ -228,11 +229,12 @@ def block_bpr(
     seed: int = 77,
     score: Callable[[DataFrame, DataFrame], float] | None = None,
     folder: str | None = None,
+    trainer: Callable = _trainer,
 ) -> tuple[DataFrame, DataFrame, list[float]]:
     """Vectors (id, vec) of both sides and the loss per epoch; ``right`` None: one table.
 
     ``left`` and ``right``: id, vec, m, v. ``score`` judges the vectors after each epoch, and
-    the best epoch is kept, else the last. With ``folder``, each epoch's state is written there
+    the best epoch is kept, else the last. ``trainer`` moves the vectors of a slice. With ``folder``, each epoch's state is written there
     and then listed in a manifest; a run with the same arguments goes on after the last listed
     epoch.
     """
@@ -261,7 +263,7 @@ def block_bpr(
         rate = lr * (1 + cos(pi * epoch / epochs)) / 2
         total = 0.0
         for number in range(strata.blocks):
-            parts = materialize(run_round(strata, number, state, shared, batch, rate, epoch), "round")
+            parts = materialize(run_round(strata, number, state, shared, batch, rate, epoch, trainer), "round")
             total += float(parts.agg(F.sum(F.col("loss").cast("decimal(38,9)"))).first()[0] or 0)
             state = merged(state, parts)
             if number < strata.blocks - 1:

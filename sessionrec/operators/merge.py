@@ -13,9 +13,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionrec.functions.order import global_positions, score_ranks
+from sessionrec.functions.order import score_ranks, sliced_positions
 from sessionrec.operators.item_cf import MERGED_AGGREGATIONS, RULES
 from sessionrec.sources.events import EVENT_GROUPS, TARGETS
+from sessionrec.sources.stages import materialize
 
 N_FOLDS = 3
 
@@ -145,11 +146,48 @@ def label_candidates(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return drop_empty_sessions(add_no_targets(add_targets(pairs, labels)))
 
 
+def _dealt(counts: list[tuple[int, int]], folds: int) -> list[tuple[int, list[int], list[int]]]:
+    """(size, first, cycle) for the sizes given with their numbers of sessions, largest first.
+
+    Every session goes to the fold with the fewest rows, of equal ones to the lowest. Once the
+    folds are less than one size apart, sessions of that size go round in one order: the
+    folds of ``first`` take one each, then those of ``cycle`` in turn.
+    """
+    loads = [0] * folds
+    out = []
+    for size, count in sorted(counts, reverse=True):
+        first: list[int] = []
+        while len(first) < count and max(loads) - min(loads) >= size:
+            lightest = loads.index(min(loads))
+            loads[lightest] += size
+            first.append(lightest)
+        cycle = sorted(range(folds), key=lambda f: (loads[f], f))
+        rounds, rest = divmod(count - len(first), folds)
+        loads = [n + rounds * size for n in loads]
+        for f in cycle[:rest]:
+            loads[f] += size
+        out.append((size, first, cycle))
+    return out
+
+
 def session_folds(pairs: DataFrame, folds: int = N_FOLDS) -> DataFrame:
-    """Fold per session; sessions dealt out by size, so folds hold equal row numbers."""
+    """Fold per session: largest sessions first, each into the fold with the fewest rows.
+
+    Sessions of one size are taken in id order. Only the distinct sizes reach the driver: at
+    most sqrt(2 x rows), and no more than the sum of the generators' tops for candidates.
+    """
     sizes = pairs.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
-    placed = global_positions(sizes, [F.col("n").desc(), F.col("session").asc()], "_pos")
-    return placed.select("session", F.pmod("_pos", F.lit(folds)).cast("tinyint").alias("fold"))
+    sizes = materialize(sizes, "session-sizes")
+    counts = [(r["n"], r["count"]) for r in sizes.groupBy("n").count().collect()]
+    rule = pairs.sparkSession.createDataFrame(
+        _dealt(counts, folds), "n long, first array<int>, cycle array<int>"
+    )
+    placed = sliced_positions(sizes, ["n"], [F.col("session").asc()], "_pos").join(rule, "n")
+    turn = F.col("_pos") - F.size("first")
+    fold = F.when(turn < 0, F.get("first", F.col("_pos").cast("int"))).otherwise(
+        F.get("cycle", F.pmod(turn, F.lit(folds)).cast("int"))
+    )
+    return placed.select("session", fold.cast("tinyint").alias("fold"))
 
 
 def add_folds(pairs: DataFrame, folds: int = N_FOLDS) -> DataFrame:

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionrec.sources.events import TARGETS, _kept
+from sessionrec.sources.events import TARGETS
+
+
+def _kept(ratio: float, *salted):
+    """Repeatable draw: first 32 bits of an md5 against the ratio; 1 keeps every row."""
+    if ratio >= 1:
+        return F.lit(True)
+    threshold = "%08x" % int(ratio * 2**32)
+    digest = F.md5(F.concat_ws(":", *salted))
+    return F.substring(digest, 1, 8) < F.lit(threshold)
 
 
 def is_positive():

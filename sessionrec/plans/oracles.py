@@ -67,6 +67,27 @@ for _log in ("tr", "basket"):
     )
     CTES[f"counts_{_log}"] = f"SELECT aid, count(*) AS c FROM dedup_{_log} GROUP BY aid"
     CTES[f"sizes_{_log}"] = f"SELECT session, count(*) AS n FROM {_log} GROUP BY session"
+for _part, _log in (("train", "tr"), ("test", "te")):
+    CTES[f"drawn_{_part}"] = f"""
+  SELECT DISTINCT session FROM (
+    SELECT session, row_number() OVER (ORDER BY session) - 1 AS place FROM (SELECT DISTINCT session FROM {_log}))
+  WHERE place IN (
+    SELECT CAST('0x' || substr(md5(concat_ws(':', '{_part}', draw, 77)), 1, 15) AS BIGINT)
+             % (SELECT count(DISTINCT session) FROM {_log})
+    FROM (SELECT unnest(range(CAST(floor((SELECT count(DISTINCT session) FROM {_log}) * 0.25e0) AS BIGINT))) AS draw))"""
+CTES["numbered"] = """
+  SELECT session, aid, eid, row_number() OVER (PARTITION BY session ORDER BY ts, eid) AS place,
+         CAST('0x' || substr(md5(concat_ws(':', session, eid, 77)), 1, 15) AS BIGINT) % 5 + 1 AS reach
+  FROM tr"""
+CTES["contexts"] = """
+  SELECT c.aid AS x, o.aid AS y,
+         concat_ws(':', c.session, CASE WHEN o.place > c.place THEN c.eid ELSE o.eid END,
+                   abs(o.place - c.place), CASE WHEN o.place > c.place THEN 'after' ELSE 'before' END) AS key
+  FROM numbered c JOIN numbered o
+    ON o.session = c.session AND o.place != c.place AND abs(o.place - c.place) <= c.reach"""
+CTES["noise_range"] = """
+  SELECT aid, CAST(sum(w) OVER (ORDER BY aid) - w AS BIGINT) AS start, CAST(sum(w) OVER (ORDER BY aid) AS BIGINT) AS stop
+  FROM (SELECT aid, greatest(1, CAST(round(pow(count(*), 0.75) * 1024) AS BIGINT)) AS w FROM tr GROUP BY aid)"""
 CTES["ids"] = """
   SELECT aid, CAST(row_number() OVER (ORDER BY aid) - 1 AS INT) AS aid_idx
   FROM (SELECT DISTINCT aid FROM tr)"""
@@ -212,8 +233,14 @@ CTES["labelled"] = """
   SELECT * FROM no_targets
   WHERE no_target_click = 0 OR no_target_cart = 0 OR no_target_order = 0"""
 CTES["folds"] = """
-  SELECT session, CAST((row_number() OVER (ORDER BY n DESC, session) - 1) % 3 AS TINYINT) AS fold
-  FROM (SELECT session, count(*) AS n FROM labelled GROUP BY session)"""
+  SELECT unnest(sessions) AS session, unnest(list_reduce(dealt, lambda a, b: {
+      'n': b.n,
+      'rows': list_transform(a.rows, lambda v, i: v + CASE WHEN i = list_position(a.rows, list_min(a.rows)) THEN b.n ELSE 0 END),
+      'picked': list_append(a.picked, CAST(list_position(a.rows, list_min(a.rows)) - 1 AS TINYINT))},
+    {'n': CAST(0 AS BIGINT), 'rows': CAST([0, 0, 0] AS BIGINT[]), 'picked': CAST([] AS TINYINT[])}).picked) AS fold
+  FROM (SELECT list(session ORDER BY n DESC, session) AS sessions,
+          list({'n': n, 'rows': CAST([] AS BIGINT[]), 'picked': CAST([] AS TINYINT[])} ORDER BY n DESC, session) AS dealt
+        FROM (SELECT session, count(*) AS n FROM labelled GROUP BY session))"""
 CTES["folded"] = "SELECT l.*, f.fold FROM labelled l JOIN folds f USING (session)"
 CTES["sampled"] = """
   SELECT * FROM folded
@@ -563,8 +590,21 @@ def oracle_sql() -> dict[str, str]:
         "filter_event_group": "SELECT * FROM tr WHERE type IN (1, 2)",
         "recent_days": f"SELECT * FROM tr WHERE ts >= (SELECT max(ts) FROM tr) - 7 * {DAY}",
         "older_days": f"SELECT * FROM tr WHERE ts < (SELECT max(ts) FROM tr) - 7 * {DAY}",
-        "sample_sessions": """SELECT * FROM tr
-          WHERE substr(md5(concat_ws(':', session, 77)), 1, 8) < '40000000'""",
+        "sample_sessions": """
+          SELECT 'train' AS part, session, aid, ts, type, eid, NULL AS ground_truth FROM tr
+          WHERE session IN (FROM drawn_train UNION FROM drawn_test)
+          UNION ALL SELECT 'test', *, NULL FROM te WHERE session IN (FROM drawn_test)
+          UNION ALL SELECT 'labels', session, NULL, NULL, type, NULL, array_to_string(ground_truth, ',')
+          FROM truth_lists WHERE session IN (FROM drawn_test)""",
+        "skip_gram_pairs": "SELECT x, y, count(*) AS n FROM contexts GROUP BY x, y",
+        "skip_gram_noise": "SELECT aid, start, stop FROM noise_range",
+        "skip_gram_negatives": """
+          SELECT x, z.aid AS y, count(*) AS n
+          FROM (SELECT x, y AS own, CAST('0x' || substr(md5(concat_ws(':', key, draw, 77)), 1, 15) AS BIGINT)
+                         % (SELECT max(stop) FROM noise_range) AS place
+                FROM contexts, (SELECT unnest(range(1, 6)) AS draw)) t
+          ASOF JOIN noise_range z ON t.place >= z.start
+          WHERE z.aid != own GROUP BY x, z.aid""",
         "eligible_sessions": "SELECT session, count(*) AS events FROM eligible GROUP BY session",
         "dense_ids": "SELECT aid, aid_idx FROM ids",
         "dedup_latest": "SELECT * FROM dedup_tr",

@@ -27,6 +27,7 @@ from sessionrec.operators import lambdamart as lm
 from sessionrec.operators import merge as mg
 from sessionrec.operators import rankers as rk
 from sessionrec.operators import sampling as sp
+from sessionrec.operators import skip_gram as sg
 from sessionrec.operators import sessions as ss
 from sessionrec.operators import vectors as vx
 from sessionrec.operators.feature_merge import build_features, merge_features
@@ -307,6 +308,23 @@ def _item2vec(s, d):
     return i2v.item2vec_vectors(model)
 
 
+def _context_pairs(s, d):
+    train = _train(s, d)
+    pairs = sg.context_pairs(train, hot=hot_sessions(train))
+    return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _negative_draws(s, d):
+    train = _train(s, d)
+    pairs = st.materialize(sg.context_pairs(train, hot=hot_sessions(train)), "context-pairs")
+    return sg.negative_draws(pairs, sg.noise_table(train)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _skip_gram(s, d):
+    train = _train(s, d)
+    return sg.skip_gram(train, vector_size=16, epochs=2, lr=0.05, hot=hot_sessions(train))[0]
+
+
 def _mf_candidates(seed: str) -> Query:
     return lambda s, d: vx.embedding_candidates(
         _test(s, d), st.materialize(_item_vectors(s, d), "vectors"), f"item_mf_{seed}", seed
@@ -526,8 +544,12 @@ def _item_lists(s, d):
 
 
 def _sample(s, d):
-    sampled = log.sample_sessions(_train(s, d), _test(s, d), _labels(s, d), 0.25)
-    return sampled[0]
+    """All three tables of the sample in one."""
+    train, test, labels = log.sample_sessions(_train(s, d), _test(s, d), _labels(s, d), 0.25)
+    listed = labels.withColumn("ground_truth", _joined("ground_truth"))
+    tables = {"train": train, "test": test, "labels": listed}
+    named = [t.withColumn("part", F.lit(part)) for part, t in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
 def queries() -> dict[str, Query]:
@@ -587,6 +609,10 @@ def queries() -> dict[str, Query]:
         "bpr_user": _user_bpr,
         "cand_user_mf": _user_mf,
         "item2vec_vectors": _item2vec,
+        "skip_gram_pairs": _context_pairs,
+        "skip_gram_noise": lambda s, d: sg.noise_table(_train(s, d)),
+        "skip_gram_negatives": _negative_draws,
+        "skip_gram_vectors": _skip_gram,
         "cand_item_mf_last": _mf_candidates("last"),
         "cand_item_mf_seq": _mf_candidates("seq"),
         "cand_item2vec_last": _item2vec_candidates("last"),

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sessionrec.functions.order import global_positions
+from sessionrec.sources.stages import materialize
+
 # Event type codes.
 CLICK, CART, ORDER = 0, 1, 2
 LABEL_TYPES = {"clicks": 0, "carts": 1, "orders": 2}
@@ -120,22 +123,36 @@ def eligible_events(train: DataFrame, test: DataFrame, min_events: int = 20) ->
     return train.join(wanted, "session", "left_semi")
 
 
-def _kept(ratio: float, *salted):
-    """Repeatable draw: first 32 bits of an md5 against the ratio; 1 keeps every row."""
-    if ratio >= 1:
-        return F.lit(True)
-    threshold = "%08x" % int(ratio * 2**32)
-    digest = F.md5(F.concat_ws(":", *salted))
-    return F.substring(digest, 1, 8) < F.lit(threshold)
+def draw_sessions(log: DataFrame, ratio: float, name: str, seed: int = 77) -> DataFrame:
+    """Sessions hit by int(sessions x ratio) draws with replacement, each once.
+
+    Sessions are numbered by id, and a draw is a hash of its own number, so a retried task
+    draws the same sessions. A null session takes part as any other.
+    """
+    spark = log.sparkSession
+    placed = materialize(
+        global_positions(log.select("session").distinct(), [F.col("session").asc()], "place"), "draw-places"
+    )
+    count = placed.count()
+    digest = F.md5(F.concat_ws(":", F.lit(name), F.col("id"), F.lit(seed)))
+    place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % F.lit(max(1, count))
+    draws = spark.range(int(count * ratio)).select(place.alias("place"))
+    return materialize(placed.join(draws, "place", "left_semi").select("session"), "drawn")
+
+
+def _of_sessions(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    return df.join(wanted.withColumnRenamed("session", "_wanted"), F.col("session").eqNullSafe(F.col("_wanted")), "left_semi")
 
 
 def sample_sessions(
     train: DataFrame, test: DataFrame, labels: DataFrame, ratio: float = 0.05, seed: int = 77
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Development sample: the same share of sessions of all three tables.
+    """Development sample: sessions drawn with replacement, from the log and the test apart.
 
-    The draw depends on the session id only, so sampled test sessions are sampled
-    in the training log as well, and no id list is built.
+    Sampled test sessions stay in the training log as well. A ratio of 1 or more keeps all.
     """
-    keep = _kept(ratio, F.col("session"), F.lit(seed))
-    return train.filter(keep), test.filter(keep), labels.filter(keep)
+    if ratio >= 1:
+        return train, test, labels
+    tested = draw_sessions(test, ratio, "test", seed)
+    trained = draw_sessions(train, ratio, "train", seed).union(tested)
+    return _of_sessions(train, trained), _of_sessions(test, tested), _of_sessions(labels, tested)

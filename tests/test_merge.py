@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +99,37 @@ def test_unknown_label_type_fails(spark):
     raw = spark.createDataFrame([(1, "views", [1])], "session int, type string, ground_truth array<int>")
     with pytest.raises(Exception, match="unknown label type"):
         as_labels(raw).collect()
+
+
+def brute_folds(sizes, folds):
+    """sizes: session -> rows."""
+    loads, out = [0] * folds, {}
+    for session, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        out[session] = loads.index(min(loads))
+        loads[out[session]] += n
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_dealt_sizes_follow_the_greedy_rule(seed):
+    rnd = random.Random(seed)
+    folds = rnd.randint(1, 5)
+    counts = [(n, rnd.randint(1, 30)) for n in rnd.sample(range(1, rnd.choice([8, 300])), rnd.randint(1, 6))]
+    sizes = {}
+    for n, count in sorted(counts, reverse=True):
+        sizes |= {len(sizes) + i: n for i in range(count)}
+    got = []
+    rule = {n: (first, cycle) for n, first, cycle in mg._dealt(counts, folds)}
+    for n, count in sorted(counts, reverse=True):
+        first, cycle = rule[n]
+        got += [first[i] if i < len(first) else cycle[(i - len(first)) % folds] for i in range(count)]
+    assert got == [*brute_folds(sizes, folds).values()]
+
+
+def test_session_folds_equal_the_greedy_rule(spark):
+    rnd = random.Random(5)
+    sizes = {s: rnd.choice([1, 1, 1, 2, 3, 40, rnd.randint(1, 90)]) for s in range(300)}
+    rows = [(s, a) for s, n in sizes.items() for a in range(n)]
+    pairs = spark.createDataFrame(rows, "session int, aid int").repartition(6)
+    assert {r.session: r.fold for r in mg.session_folds(pairs, 3).collect()} == brute_folds(sizes, 3)
+    assert mg.session_folds(pairs.limit(0)).collect() == []

@@ -1,5 +1,7 @@
 """Ranks, positions and following rows; hot groups must give the same result."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from sessionrec.functions import order as od
@@ -56,6 +58,18 @@ def test_sample_of_everything_keeps_everything(train):
     assert sample_sessions(train, train, labels, 1.0)[0].count() == train.count()
 
 
+def test_sample_has_the_size_of_the_draws(spark):
+    from sessionrec.sources.events import draw_sessions, sample_sessions
+
+    train = spark.range(1000).selectExpr("cast(id % 400 as int) as session", "cast(id as int) as aid")
+    test = train.filter("session < 100")
+    places = {int(hashlib.md5(f"train:{j}:5".encode()).hexdigest()[:15], 16) % 400 for j in range(200)}
+    assert {r.session for r in draw_sessions(train, 0.5, "train", 5).collect()} == places and len(places) < 200
+    got = [{r.session for r in t.collect()} for t in sample_sessions(train, test, test, 0.5, 5)]
+    assert got[1] == got[2] and got[1] <= got[0] and places == got[0] - (got[1] - places)
+    assert draw_sessions(train.limit(0), 0.5, "train").collect() == []
+
+
 def test_positions_same_for_hot_sessions(train):
     hot = od.hot_groups(train, ["session"], 30)
     plain = od.positions(train, ["session"], od.oldest_first(), "p")
