@@ -591,10 +591,10 @@ def oracle_sql() -> dict[str, str]:
         "recent_days": f"SELECT * FROM tr WHERE ts >= (SELECT max(ts) FROM tr) - 7 * {DAY}",
         "older_days": f"SELECT * FROM tr WHERE ts < (SELECT max(ts) FROM tr) - 7 * {DAY}",
         "sample_sessions": """
-          SELECT 'train' AS part, session, aid, ts, type, eid, NULL AS ground_truth FROM tr
+          SELECT 'train' AS part, session, aid, ts, type, eid, '' AS ground_truth FROM tr
           WHERE session IN (FROM drawn_train UNION FROM drawn_test)
-          UNION ALL SELECT 'test', *, NULL FROM te WHERE session IN (FROM drawn_test)
-          UNION ALL SELECT 'labels', session, NULL, NULL, type, NULL, array_to_string(ground_truth, ',')
+          UNION ALL SELECT 'test', *, '' FROM te WHERE session IN (FROM drawn_test)
+          UNION ALL SELECT 'labels', session, -1, -1, type, -1, array_to_string(ground_truth, ',')
           FROM truth_lists WHERE session IN (FROM drawn_test)""",
         "skip_gram_pairs": "SELECT x, y, count(*) AS n FROM contexts GROUP BY x, y",
         "skip_gram_noise": "SELECT aid, start, stop FROM noise_range",

@@ -549,7 +549,8 @@ def _sample(s, d):
     listed = labels.withColumn("ground_truth", _joined("ground_truth"))
     tables = {"train": train, "test": test, "labels": listed}
     named = [t.withColumn("part", F.lit(part)) for part, t in tables.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+    return whole.fillna(-1, ["aid", "ts", "eid"]).fillna("", ["ground_truth"])
 
 
 def queries() -> dict[str, Query]:
