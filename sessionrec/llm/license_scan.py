@@ -1,8 +1,12 @@
 """License scan: phrases word by word, and an exact set-similarity join with templates.
 
 Documents are cut into blocks of ``BLOCK`` words, each starting ``STRIDE`` words after the
-one before, so a template of up to BLOCK - STRIDE words lies whole in some block. A block
-matches a template if it holds at least ``THRESHOLD`` of the template's distinct words.
+one before, so a template of up to BLOCK - STRIDE words lies whole in some block. Longer
+templates are met by longer blocks: a power of two of words apart, at least the template's
+length, and twice that long. A block matches a template if it holds at least ``THRESHOLD``
+of the template's distinct words. A template of at most ``SHORT`` of them also needs every
+word that no other label's template has ("mit", not any four of "released under the mit
+license").
 
 The join is exact. Words are ordered by the number of documents that hold them, rarest
 first. To reach the needed overlap a block must hold one of the template's rarest words
@@ -20,6 +24,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,10 +55,11 @@ TEMPLATES = (
 THRESHOLD = 0.8
 BLOCK = 64
 STRIDE = 32
+SHORT = 8
 
 BASE_SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "
-    "seen array<int>, blocks array<array<int>>"
+    "seen array<int>, blocks array<array<array<int>>>"
 )
 
 
@@ -85,10 +91,22 @@ def block_words(numbers: list[int], block: int, stride: int) -> list[list[int]]:
     return out
 
 
+def block_size(words: int, block: int, stride: int) -> tuple[int, int]:
+    """(block, stride) of a template of so many words."""
+    if words <= block - stride:
+        return block, stride
+    stride = 1 << (words - 1).bit_length()
+    return 2 * stride, stride
+
+
 def scan_documents(
-    docs: DataFrame, vocabulary: list[bytes], least: int, phrases=PHRASES, block: int = BLOCK, stride: int = STRIDE
+    docs: DataFrame, vocabulary: list[bytes], sizes: list[tuple[int, int, int]], phrases=PHRASES
 ) -> DataFrame:
-    """Phrase places of each document, and its blocks with at least ``least`` template words."""
+    """Phrase places of each document, and its blocks by size.
+
+    ``sizes`` are (block, stride, least template words of a block that counts).
+    """
+    fewest = min((least for _, _, least in sizes), default=1)
     number = {w: i for i, w in enumerate(vocabulary)}
     wanted = [(alnum_words(p), label) for p, label in phrases.items()]
 
@@ -103,9 +121,10 @@ def scan_documents(
                 numbers = [get(w, -1) for w in words]
                 seen = set(numbers)
                 seen.discard(-1)
-                blocks = []
-                if len(seen) >= least:
-                    blocks = [b for b in block_words(numbers, block, stride) if len(b) >= least]
+                blocks = [[] for _ in sizes]
+                if len(seen) >= fewest:
+                    for held, (block, stride, least) in zip(blocks, sizes):
+                        held += [b for b in block_words(numbers, block, stride) if len(b) >= least]
                 out.append(
                     (
                         doc_id,
@@ -119,31 +138,40 @@ def scan_documents(
                     )
                 )
             columns = list(zip(*out)) if out else [()] * 8
-            types = [pa.int64()] * 5 + [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
+            types = [pa.int64()] * 5 + [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.list_(pa.int32())))]
             names = [c.split()[0] for c in BASE_SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return texts(docs).mapInArrow(run, BASE_SCHEMA)
 
 
+def own_words(templates: list[tuple[str, list[int]]], short: int) -> list[list[int]]:
+    """For each template of at most ``short`` words those that no other label's template has."""
+    labels: dict[int, set[str]] = {}
+    for label, words in templates:
+        for w in words:
+            labels.setdefault(w, set()).add(label)
+    return [[w for w in words if len(labels[w]) == 1] if len(words) <= short else [] for _, words in templates]
+
+
 def containment_join(
-    blocks: DataFrame, templates: list[tuple[str, list[int]]], frequency: dict[int, int], threshold: float
+    blocks: DataFrame, templates: list[tuple[str, list[int], list[int]]], frequency: dict[int, int], threshold: float
 ) -> DataFrame:
-    """(_row, label, score) of the blocks (_row, block, words) that hold enough of a template.
+    """(_row, label, score) of the blocks (_row, words) that hold enough of a template.
 
-    ``templates`` are (label, distinct word numbers).
+    ``templates`` are (label, distinct word numbers, those that a block must hold).
     """
     spark = blocks.sparkSession
-    numbers = {w for _, words in templates for w in words}
+    numbers = {w for _, words, _ in templates for w in words}
     order = {w: i for i, w in enumerate(sorted(numbers, key=lambda w: (frequency.get(w, 0), w)))}
     postings, sets = [], []
-    for t, (label, words) in enumerate(templates):
+    for t, (label, words, own) in enumerate(templates):
         ranks = sorted(order[w] for w in words)
         needed = math.ceil(threshold * len(ranks) - 1e-9)
-        sets.append((t, label, ranks, needed))
+        sets.append((t, label, ranks, sorted(order[w] for w in own)))
         postings += [(r, t, i, len(ranks), needed) for i, r in enumerate(ranks[: len(ranks) - needed + 1])]
     prefix = spark.createDataFrame(postings, "rank int, template int, i int, size int, needed int")
-    whole = spark.createDataFrame(sets, "template int, label string, ranks array<int>, needed int").drop("needed")
+    whole = spark.createDataFrame(sets, "template int, label string, ranks array<int>, own array<int>")
     ranked = F.array(*[F.lit(order.get(w, -1)) for w in range(max(numbers, default=0) + 1)])
     sorted_blocks = blocks.select(
         "_row", F.array_sort(F.transform("words", lambda w: F.get(ranked, w))).alias("held")
@@ -157,7 +185,8 @@ def containment_join(
         .join(F.broadcast(whole), "template")
     )
     overlap = F.size(F.array_intersect("held", "ranks"))
-    return candidates.filter(overlap >= F.col("needed")).select("_row", "label", (overlap / F.col("size")).alias("score"))
+    held_own = F.size(F.array_intersect("held", "own")) == F.size("own")
+    return candidates.filter((overlap >= F.col("needed")) & held_own).select("_row", "label", (overlap / F.col("size")).alias("score"))
 
 
 def license_scan(
@@ -167,20 +196,28 @@ def license_scan(
     threshold: float = THRESHOLD,
     block: int = BLOCK,
     stride: int = STRIDE,
+    short: int = SHORT,
 ) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     sets = [(label, sorted(set(alnum_words(t)))) for label, t in templates]
     vocabulary = sorted({w for _, words in sets for w in words})
     number = {w: i for i, w in enumerate(vocabulary)}
     numbered = [(label, [number[w] for w in words]) for label, words in sets]
-    least = min((math.ceil(threshold * len(w) - 1e-9) for _, w in sets), default=1)
-    table = with_rows(scan_documents(docs, vocabulary, least, phrases, block, stride), "license-words")
+    by_size: dict[tuple[int, int], list] = {}
+    for (label, words), own, (_, text) in zip(numbered, own_words(numbered, short), templates):
+        by_size.setdefault(block_size(len(alnum_words(text)), block, stride), []).append((label, words, own))
+    sizes = [(*size, min(math.ceil(threshold * len(w) - 1e-9) for _, w, _ in held)) for size, held in by_size.items()]
+    table = with_rows(scan_documents(docs, vocabulary, sizes, phrases), "license-words")
     # Documents per template word: one row per word of the templates.
     counts = table.select(F.explode("seen").alias("w")).groupBy("w").count().collect()
     frequency = {r["w"]: r["count"] for r in counts}
-    blocks = table.select("_row", F.explode("blocks").alias("words"))
+    found = [
+        containment_join(table.select("_row", F.explode(F.get("blocks", F.lit(k))).alias("words")), held, frequency, threshold)
+        for k, held in enumerate(by_size.values())
+    ]
+    nothing = table.select("_row", F.lit("").alias("label"), F.lit(0.0).alias("score")).limit(0)
     matches = (
-        containment_join(blocks, numbered, frequency, threshold)
+        reduce(DataFrame.union, found, nothing)
         .groupBy("_row")
         .agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     )

@@ -4,7 +4,10 @@ For each character class, the candidate strings are the runs of its characters o
 least one window. A window slides over a candidate; the counts of its characters are
 kept up to date as one character enters and one leaves, so each step costs the same.
 Windows with at least the class's Shannon entropy (bits per character) are joined to
-spans. A candidate that the allow-list matches is left out; base patterns never are.
+spans. Two allow-lists suppress spans; base patterns are never suppressed. A part of a
+candidate, between ``/`` and ``=``, that holds a placeholder is cut out, and windows lie
+within what stays on either side. A span that as a whole is words, a path or digits is left
+out. So a key beside an allowed word, name or path is still found.
 
 Entropy is compared in integers (count x log2(count), scaled), so no rounding builds up.
 
@@ -56,14 +59,18 @@ CLASSES = (
     CharacterClass("entropy_base64", "A-Za-z0-9+/=_-", 20, 3.7),
 )
 
-# Strings that look random but are not secret: words and paths, digit strings, counting,
-# placeholders.
+# Spans that look random but are not secret: words (capitals lead a word or fill it), paths,
+# digit strings.
 ALLOWED = (
-    r"[A-Za-z/_=+-]*",
+    r"[/_=+-]*(?:(?:(?:[A-Z]?[a-z]+)+|[A-Z]+)(?:[/_=+-]+|$))*",
     r"[0-9_=+/-]*",
-    r".*(?i:example|placeholder|changeme|your[_-]?(?:api|key|token|secret)|x{6,}).*",
-    r".*(?:0123456789|1234567890|(?i:abcdefghij)).*",
 )
+# Parts of a candidate that make it a placeholder or counting.
+PLACEHOLDERS = (
+    r"(?i:example|placeholder|changeme|your[_-]?(?:api|key|token|secret)|x{6,})",
+    r"0123456789|1234567890|(?i:abcdefghij)",
+)
+_PART = re.compile(r"[^/=]+")
 
 
 def dense_spans(text: str, window: int, least: float) -> list[tuple[int, int]]:
@@ -102,21 +109,32 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 class Scanner:
     """All spans of a text, for given classes and allow-list."""
 
-    def __init__(self, classes=CLASSES, allowed=ALLOWED):
+    def __init__(self, classes=CLASSES, allowed=ALLOWED, placeholders=PLACEHOLDERS):
         self.classes = [(c, c.candidates()) for c in classes]
         self.allowed = re.compile("|".join(f"(?:{p})" for p in allowed)) if allowed else None
+        self.placeholders = re.compile("|".join(f"(?:{p})" for p in placeholders)) if placeholders else None
         self.rank = {k: i for i, k in enumerate((*BASE_KINDS, *(c.kind for c in classes)))}
 
+    def pieces(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+        """What parts with a placeholder leave of a candidate."""
+        if self.placeholders is None or not self.placeholders.search(text, start, end):
+            return [(start, end)]
+        found = []
+        for part in _PART.finditer(text, start, end):
+            if self.placeholders.search(text, *part.span()):
+                found.append((start, part.start()))
+                start = part.end()
+        return [*found, (start, end)]
+
     def entropy_spans(self, text: str) -> list[tuple[int, str, int]]:
         found = []
         for kind, pattern in self.classes:
             for m in pattern.finditer(text):
-                if self.allowed is not None and self.allowed.fullmatch(m.group()):
-                    continue
-                found += [
-                    (m.start() + a, kind.kind, m.start() + b)
-                    for a, b in dense_spans(m.group(), kind.window, kind.least)
-                ]
+                for start, end in self.pieces(text, *m.span()):
+                    for a, b in dense_spans(text[start:end], kind.window, kind.least):
+                        a, b = start + a, start + b
+                        if self.allowed is None or not self.allowed.fullmatch(text, a, b):
+                            found.append((a, kind.kind, b))
         return found
 
     def ordered(self, spans):
@@ -127,11 +145,11 @@ def listed(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
 
 
-def scan(docs: DataFrame, classes=CLASSES, allowed=ALLOWED) -> DataFrame:
+def scan(docs: DataFrame, classes=CLASSES, allowed=ALLOWED, placeholders=PLACEHOLDERS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans."""
 
     def run(batches):
-        scanner = Scanner(classes, allowed)
+        scanner = Scanner(classes, allowed, placeholders)
         for batch in batches:
             counts, digests, spans = [], [], []
             for text in batch["text"].to_pylist():

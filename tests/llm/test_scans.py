@@ -1,6 +1,7 @@
 """Secret and license scans against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -83,6 +84,64 @@ def test_base_spans():
         assert ss.Scanner().ordered(ss.base_spans(text or "")) == brute_base(text or "")
 
 
+KEY = "Zq3xT9bLw7VnR2kPd8Ys5Hm1"
+
+
+@pytest.mark.parametrize(
+    "text, start, end",
+    [
+        (KEY, 0, 24),
+        (f"/example/path={KEY}", 8, 38),  # words and separators that share a window with the key stay in its span
+        (f"demo_example_id={KEY}", 15, 40),
+        (f"{KEY}/your_api_key", 0, 25),
+        ("qWzRkTpLmXvBnHdJfGsYcD", 0, 22),  # no digit, but no words either
+        (f"1234567890={KEY}", 10, 35),
+    ],
+)
+def test_keys_beside_allowed_words_are_found(text, start, end):
+    assert ss.Scanner().entropy_spans(text) == [(start, "entropy_base64", end)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "getUserNameFromDatabaseByPublicKey", "the/quick/brown/fox/jumps/over/lazy/dogs", "QUICKBROWNFOXJUMPSOVERLAZYDOGS",
+        f"EXAMPLE{KEY}", f"{KEY}_placeholder", "92837465019283746501928374", "some-long_words-with_separators_and_hyphens",
+        "(" * 50 + "a" * 100_000,
+    ],
+)
+def test_words_and_placeholders_are_left_alone(text):
+    assert not ss.Scanner().entropy_spans(text)
+
+
+def brute_scan(text):
+    """Entropy spans by recounting every window, cut at placeholder parts."""
+    found = []
+    for c in ss.CLASSES:
+        for run in re.finditer(f"[{c.characters}]+", text):
+            cut = [False] * len(run[0])
+            for part in re.finditer("[^/=]+", run[0]):
+                if any(re.search(p, part[0]) for p in ss.PLACEHOLDERS):
+                    cut[part.start() : part.end()] = [True] * len(part[0])
+            at = 0
+            for held, group in itertools.groupby(cut):
+                size = len(list(group))
+                piece = "" if held else run[0][at : at + size]
+                for a, b in brute_dense(piece, c.window, c.least):
+                    if not any(re.fullmatch(p, piece[a:b]) for p in ss.ALLOWED):
+                        found.append((run.start() + at + a, c.kind, run.start() + at + b))
+                at += size
+    return sorted(found)
+
+
+def test_entropy_spans_against_recount():
+    rnd = random.Random(8)
+    parts = [KEY, "example", "path", "0" * 9, "deadbeef0123", "=", "/", " ", "_", "1234567890", "camelCaseWord", "é", "9f86d081884c7d659a2feaa0"]
+    for _ in range(400):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        assert sorted(ss.Scanner().entropy_spans(text)) == brute_scan(text)
+
+
 def test_scan_frame(spark):
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(CASES)] + [(None, "secret=abcdefg", 1)], "doc_id long, text string, spans int")
     rows = {r.doc_id: r for r in ss.scan(docs).collect()}
@@ -105,6 +164,9 @@ def test_secret_query(spark, sf):
         base = brute_base(text or "")
         listed = ",".join(f"{k}:{a}:{b}" for a, k, b in base)
         assert rows[doc_id].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        kinds = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
+        spans = sorted(base + brute_scan(text or ""), key=lambda s: (s[0], kinds.index(s[1]), s[2]))
+        assert rows[doc_id].spans == ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
 
 
 def brute_license(text, templates, phrases, threshold, block, stride):
@@ -114,11 +176,17 @@ def brute_license(text, templates, phrases, threshold, block, stride):
         p = phrase.split()
         places += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
     labels, best = {label for _, label in places}, 0.0
-    for start in range(0, max(1, len(words) - stride), stride):
-        held = set(words[start : start + block])
-        for label, template in templates:
-            t = set(brute_words(template))
-            if len(t & held) / len(t) >= threshold - 1e-12:
+    for label, template in templates:
+        t = set(brute_words(template))
+        others = {w for other, x in templates if other != label for w in brute_words(x)}
+        own = t - others if len(t) <= ls.SHORT else set()
+        size, step = block, stride
+        if len(brute_words(template)) > block - stride:
+            step = next(2**k for k in range(20) if 2**k >= len(brute_words(template)))
+            size = 2 * step
+        for start in range(0, max(1, len(words) - step), step):
+            held = set(words[start : start + size])
+            if len(t & held) / len(t) >= threshold - 1e-12 and own <= held:
                 labels.add(label)
                 best = max(best, len(t & held) / len(t))
     return (
@@ -153,6 +221,16 @@ def test_license_join_against_brute_force(spark, threshold):
     assert ls.license_scan(docs.limit(0)).count() == 0
 
 
+def test_long_templates_are_found_wherever_they_stand(spark):
+    long = " ".join(f"clause{i}" for i in range(90))
+    templates = [*ls.TEMPLATES, ("long", long)]
+    texts = [long] + [" ".join(["filler"] * n) + " " + long + " end" * 40 for n in (1, 37, 64, 100, 127, 200_000)]
+    texts += [" ".join(long.split()[:60]), "released under the gpl license", "Released under the MIT license."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in ls.license_scan(docs, templates).collect()}
+    assert [got[i] for i in range(10)] == [("long", 1.0)] * 7 + [("", 0.0), ("", 0.0), ("mit", 1.0)]
+
+
 def test_license_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas().set_index("doc_id").text
     got = queries()["op4_license_scan"](spark, sf).collect()
