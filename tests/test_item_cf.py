@@ -102,3 +102,34 @@ def test_std_is_null_for_one_value_and_last_uses_newest(spark, log):
     assert scores[2, 20, "sum"] == 6.0 and scores[2, 20, "count"] == 4.0
     # Newest event of session 2 is item 10, which it touched three times.
     assert scores[3, 22, "last"] == 1.0 and (3, 21, "last") not in scores
+
+
+@pytest.mark.parametrize("batch", (7, 10_000))
+def test_ranked_neighbours_are_one_row_per_session_and_item(spark, train, batch):
+    """Scores, ranks and ties of all generators, also where a session spans Arrow batches."""
+    from sessionrec.functions.order import score_ranks, top_k
+    from pyspark.sql import functions as F
+
+    rules, aggregations, k = (cf.RULES[0], cf.RULES[3]), ("sum", "count", "last"), 25
+    pairs = cf.item_pairs(train, rules, 40).localCheckpoint()
+    scored = cf.neighbour_scores(train, pairs, rules, aggregations).select(
+        "session", "aid", F.concat_ws("_", "rule", "agg").alias("cg"), F.col("score").cast("float").alias("score")
+    )
+    best = top_k(scored, ["session", "cg"], [F.col("score").desc(), F.col("aid")], k)
+    want = {tuple(r) for r in score_ranks(best, ["session", "cg"]).select("session", "aid", "cg", "rank", "min_rank").collect()}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        packed = cf.ranked_neighbours(train, pairs, rules, aggregations, k).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len({(r.session, r.aid) for r in packed}) == len(packed)
+    names = cf.generator_names(rules, aggregations)
+    got = {
+        (r.session, r.aid, name, rank, least)
+        for r in packed
+        for name, rank, least in zip(names, r.ranks, r.min_ranks)
+        if rank is not None
+    }
+    assert got == want

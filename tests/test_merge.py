@@ -133,3 +133,19 @@ def test_session_folds_equal_the_greedy_rule(spark):
     pairs = spark.createDataFrame(rows, "session int, aid int").repartition(6)
     assert {r.session: r.fold for r in mg.session_folds(pairs, 3).collect()} == brute_folds(sizes, 3)
     assert mg.session_folds(pairs.limit(0)).collect() == []
+
+
+def test_families_give_the_rows_of_the_long_table(spark, candidates):
+    shared = candidates.filter("cg = 'a'")
+    families = [
+        mg.packed_family(candidates.filter("cg <> 'a'"), ("b", "other")),
+        mg.single_family(shared, ("a", "again")),
+    ]
+    generators = (*GENERATORS, mg.Generator("again", 2), mg.Generator("absent"))
+    long = candidates.unionByName(shared.withColumn("cg", F.lit("again")))
+    want = mg.wide_candidates(long, generators)
+    got = mg.wide_of_families(families, generators, 3)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    heads = mg.selected_of_families(families, generators, 3).collect()
+    assert sorted(map(tuple, heads)) == sorted(tuple(r)[:2] for r in want.collect())
