@@ -133,3 +133,26 @@ def test_ranked_neighbours_are_one_row_per_session_and_item(spark, train, batch)
         if rank is not None
     }
     assert got == want
+
+
+@pytest.mark.parametrize("block", (7, cf.BLOCK_ITEMS))
+def test_slices_of_items_keep_every_pair(train, block):
+    rules = (cf.RULES[1], cf.RULES[6])
+
+    def found(slices):
+        rows = cf.item_pairs(train, rules, 20, block, slices).collect()
+        return {(r.rule, r.aid, r.aid_right): r.weight for r in rows}
+
+    whole, sliced = found(1), found(3)
+    assert whole.keys() == sliced.keys()
+    assert all(sliced[k] == pytest.approx(v, rel=1e-6) for k, v in whole.items())
+
+
+def test_many_pairs_of_a_large_catalogue_are_sliced(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(cf, "PAIRS_PER_SLICE", 1)
+    monkeypatch.setattr(cf, "write_stage", lambda df, path, write=cf.write_stage: written.append(write(df, path)))
+    rows = [(s, s * 20 + a, 100 + a, 0, s * 20 + a) for s in range(10) for a in range(20)]
+    log = spark.createDataFrame(rows, "session int, aid int, ts long, type tinyint, eid long")
+    assert cf.item_pairs(log, (cf.RULES[0],)).count() == 10 * 20 * 20
+    assert len(written) == 10  # 4,000 pairs, two per item and slice
