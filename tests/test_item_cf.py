@@ -156,3 +156,17 @@ def test_many_pairs_of_a_large_catalogue_are_sliced(spark, monkeypatch):
     log = spark.createDataFrame(rows, "session int, aid int, ts long, type tinyint, eid long")
     assert cf.item_pairs(log, (cf.RULES[0],)).count() == 10 * 20 * 20
     assert len(written) == 10  # 4,000 pairs, two per item and slice
+
+
+def test_marked_neighbours_are_the_selected_of_the_ranked(spark, train):
+    rules, aggregations = cf.RULES[:3], ("sum", "count")
+    pairs = cf.item_pairs(train, rules).localCheckpoint()
+    names = cf.generator_names(rules, aggregations)
+    bits = {name: (2 * i + 1, 3 + i) for i, name in enumerate(names)}
+    want = {}
+    for r in cf.ranked_neighbours(train, pairs, rules, aggregations, 6).collect():
+        marks = [1 << bits[n][0] for n, rank in zip(names, r.ranks) if rank is not None and rank <= bits[n][1]]
+        if marks:
+            want[r.session, r.aid] = sum(marks)
+    got = cf.marked_neighbours(train, pairs, bits, rules, aggregations, 6).collect()
+    assert len(got) == len(want) and {(r.session, r.aid): r.marks for r in got} == want

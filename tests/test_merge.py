@@ -149,3 +149,20 @@ def test_families_give_the_rows_of_the_long_table(spark, candidates):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     heads = mg.selected_of_families(families, generators, 3).collect()
     assert sorted(map(tuple, heads)) == sorted(tuple(r)[:2] for r in want.collect())
+
+
+def test_marks_give_the_heads_and_votes_of_the_families(spark, candidates):
+    shared = candidates.filter("cg = 'a'")
+    generators = (*GENERATORS, mg.Generator("again", 2), mg.Generator("absent"))
+    bits = mg.generator_bits(generators)
+    marked = [
+        mg.marked_candidates(candidates.filter("cg = 'b'"), {"b": bits["b"]}),
+        mg.marked_search(shared, ("a", "again"), bits),
+    ]
+    wide = mg.wide_candidates(candidates.unionByName(shared.withColumn("cg", F.lit("again"))), generators)
+    got = mg.votes_of_marks(marked, generators, 3)
+    want = mg.add_votes(wide, generators).select(got.columns)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    heads = mg.selected_of_marks(marked, 3).collect()
+    assert sorted(map(tuple, heads)) == sorted(tuple(r)[:2] for r in wide.collect())

@@ -92,3 +92,19 @@ def test_task_functions_load_without_the_package(task):
     data = cloudpickle.dumps(task).hex()
     load = "import pickle, sys; pickle.loads(bytes.fromhex(sys.argv[1]))"
     subprocess.run([sys.executable, "-I", "-c", load, data], check=True, cwd="/")
+
+
+def test_head_of_a_search_is_the_first_rows_of_the_whole(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 4))
+    # Close scores: equal as 32-bit floats, apart as doubles, so ids break the tie.
+    vectors = [(int(i), [float(x) for x in base[i % 6] * 3 + (i % 5) * 4e-8]) for i in range(60)]
+    items = spark.createDataFrame(vectors, "aid int, vec array<double>")
+    events = spark.createDataFrame(
+        [(s, s % 60, s, 0, s) for s in range(80)], "session int, aid int, ts int, type int, eid long"
+    )
+    for seed in ("last", "seq"):
+        whole = vx.embedding_candidates(events, items, "x", seed, 30).filter("rank <= 7")
+        head = vx.embedding_candidates(events, items, "x", seed, 30, head=7)
+        assert head.columns == whole.columns
+        assert sorted(map(tuple, head.collect())) == sorted(map(tuple, whole.collect()))
