@@ -116,6 +116,34 @@ def cluster(vectors: np.ndarray, clusters: int = CLUSTERS, rounds: int = ROUNDS)
     return centroids, (vectors @ centroids.T).argmax(axis=1)
 
 
+def _counter(dimensions: int):
+    """Rows of text, lang and _order to sparse counts, without the texts that have no letter."""
+
+    def count(batches):
+        # A few rows at a time, as plain arrays: the sample can arrive in one batch.
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                counts = [ngram_counts(text, dimensions) for text in part["text"].to_pylist()]
+                known = [i for i, c in enumerate(counts) if c is not None]
+                found = [np.flatnonzero(counts[i]) for i in known]
+                none = [np.empty(0, np.int64)]
+                at = np.concatenate(none + found).astype(np.int32)
+                values = np.concatenate(none + [counts[i][f] for i, f in zip(known, found)]).astype(np.int64)
+                offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part["lang"].take(pa.array(known, pa.int64())).cast(pa.string()),
+                        part["_order"].take(pa.array(known, pa.int64())),
+                        pa.ListArray.from_arrays(offsets, pa.array(at)),
+                        pa.ListArray.from_arrays(offsets, pa.array(values)),
+                    ],
+                    ["lang", "order", "at", "values"],
+                )
+
+    return count
+
+
 def fit(
     labelled: DataFrame,
     order: Column,
@@ -140,29 +168,8 @@ def fit(
     taken = rows.join(F.broadcast(limits), "lang").filter("_order <= _last").drop("_last")
     taken = taken.dropDuplicates(["lang", "_order"])
 
-    def count(batches):
-        for batch in batches:
-            langs, orders, at, values = [], [], [], []
-            for lang, text, order in zip(*(batch[c].to_pylist() for c in ("lang", "text", "_order"))):
-                counts = ngram_counts(text, dimensions)
-                if counts is not None:
-                    found = np.flatnonzero(counts)
-                    langs.append(lang)
-                    orders.append(order)
-                    at.append(found.tolist())
-                    values.append(counts[found].tolist())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(langs, pa.string()),
-                    pa.array(orders, pa.int64()),
-                    pa.array(at, pa.list_(pa.int32())),
-                    pa.array(values, pa.list_(pa.int64())),
-                ],
-                ["lang", "order", "at", "values"],
-            )
-
     schema = "lang string, order long, at array<int>, values array<bigint>"
-    vectors = materialize(taken.mapInArrow(count, schema), "language-sample")
+    vectors = materialize(taken.mapInArrow(_counter(dimensions), schema), "language-sample")
     total = vectors.count()
     idf = np.full(dimensions, 1 + np.log(1 + total), np.float32)
     # At most one row per dimension.
@@ -208,10 +215,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches):
         model = shared.value
         for batch in batches:
-            texts = batch[text_col].to_pylist()
-            pred, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            for first in range(0, len(texts) if model.languages else 0, ROWS):
-                counts = [ngram_counts(t, len(model.idf)) for t in texts[first : first + ROWS]]
+            rows = batch.num_rows
+            pred, score, rejected = [UNKNOWN] * rows, np.zeros(rows), np.ones(rows, bool)
+            for first in range(0, rows if model.languages else 0, ROWS):
+                texts = batch[text_col].slice(first, ROWS).to_pylist()
+                counts = [ngram_counts(t, len(model.idf)) for t in texts]
                 known = [i for i, c in enumerate(counts) if c is not None]
                 if not known:
                     continue

@@ -68,3 +68,18 @@ def test_cases(spark):
     assert li.identify(empty, li.learned(empty)).count() == 0
     none = li.learned(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in li.identify(docs, none).collect()} == {"und"}
+
+
+def test_sample_vectors_leave_in_small_batches():
+    """Ids and counts of a whole sample in one batch are never Python objects at once."""
+    import pyarrow as pa
+
+    texts = [None if i % 7 == 0 else f"word {'abc'[i % 3] * (i % 5 + 1)} of row {i}" for i in range(300)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 300, "text": texts, "_order": list(range(300))})
+    out = list(li._counter(64)([batch, batch.slice(0, 0), batch.slice(0, 1)]))
+    assert max(b.num_rows for b in out) <= li.ROWS
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["order"] for r in rows] == [i for i in range(300) if i % 7]
+    for row in rows:
+        counts = li.ngram_counts(texts[row["order"]], 64)
+        assert row["at"] == np.flatnonzero(counts).tolist() and row["values"] == counts[counts > 0].tolist()
