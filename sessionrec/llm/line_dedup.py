@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sessionrec.llm.common import documents, with_rows
 from sessionrec.llm.components import components, forest
-from sessionrec.sources.stages import materialize
+from sessionrec.sources.stages import materialize, materialize_alone
 
 SHINGLE = 7
 SIMILARITY = 0.8
@@ -325,7 +325,8 @@ class LineDedup:
     def dedup_text(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``text`` less its dropped lines; every column and row stays."""
         columns = docs.columns
-        drops = materialize(self.dropped(docs.select("doc_id", "text")), "dropped-lines").select(
+        narrow = docs.select("doc_id", "text")
+        drops = materialize_alone(docs.sparkSession, "dropped-lines", lambda: self.dropped(narrow)).select(
             F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("dropped").alias("_dropped")
         )
         keyed = docs.withColumn("_hash", F.xxhash64("text"))
@@ -346,14 +347,14 @@ class LineDedup:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_kept, dropped: the line numbers that go, comma-joined."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    drops = LineDedup().dropped(docs).withColumnsRenamed({"doc_id": "_id", "body": "_body"})
+    drops = materialize_alone(spark, "dropped-lines", lambda: LineDedup().dropped(docs))
     rows = docs.select(
         "doc_id",
         F.xxhash64("text").alias("_hash"),
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"),
     )
     met = rows.join(
-        materialize(drops, "dropped-lines"),
+        drops.withColumnsRenamed({"doc_id": "_id", "body": "_body"}),
         (F.col("_hash") == F.col("_body")) & F.col("doc_id").eqNullSafe(F.col("_id")),
         "left",
     )

@@ -43,3 +43,31 @@ def test_scratch_drops_one_table(spark):
     folder = Path(scratch.folder.removeprefix("file:"))
     assert [p.name for p in folder.iterdir() if not p.name.endswith(".crc")] == ["second"]
     assert second.count() == 6
+
+
+def test_tables_made_on_the_way_go_and_the_result_stays(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from sessionrec.sources import stages as st
+
+    folder = f"{st.shared_dir(spark)}/sessionrec"
+    outer = st.materialize(spark.range(3), "outer")
+    before = set(os.listdir(folder))
+
+    def build():
+        first = st.materialize(spark.range(10), "first")
+        inner = st.materialize_alone(spark, "inner", lambda: st.materialize(first, "deep").filter("id > 2"))
+        table = st.Scratch(spark, "scratch").table(inner.withColumn("x", F.lit(1)), "t")
+        return table.join(outer, "id", "left_anti").select("id")
+
+    found = st.materialize_alone(spark, "result", build)
+    assert sorted(r.id for r in found.collect()) == list(range(3, 10))
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("result-") and outer.count() == 3
+    try:
+        st.materialize_alone(spark, "failed", lambda: st.materialize(spark.range(2), "gone").select("no_column"))
+    except Exception as error:
+        assert "no_column" in str(error)
+    assert set(os.listdir(folder)) - before and not [t for t in os.listdir(folder) if t.startswith("gone-")]
