@@ -4,6 +4,7 @@ import math
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionrec.operators import item_cf as cf
 from sessionrec.operators.sessions import session_items
@@ -170,3 +171,24 @@ def test_marked_neighbours_are_the_selected_of_the_ranked(spark, train):
             want[r.session, r.aid] = sum(marks)
     got = cf.marked_neighbours(train, pairs, bits, rules, aggregations, 6).collect()
     assert len(got) == len(want) and {(r.session, r.aid): r.marks for r in got} == want
+
+
+@pytest.mark.parametrize("aggregations", (cf.MERGED_AGGREGATIONS, ("mean", "last")))
+@pytest.mark.parametrize("long_items, at_once", ((cf.LONG_ITEMS, cf.PAIRS_AT_ONCE), (20, 7), (0, 1)))
+def test_neighbours_of_a_part_are_summed_as_row_by_row(train, monkeypatch, aggregations, long_items, at_once):
+    monkeypatch.setattr(cf, "PAIRS_AT_ONCE", at_once)
+    rules = (cf.RULES[0], cf.RULES[1], cf.RULES[7])
+    pairs = cf.item_pairs(train, rules, 12).localCheckpoint()
+    events = train.withColumn("session", F.expr("nullif(session, 3)"))
+    count = len(rules) * len(aggregations)
+    schema = "session int, aid int, scores array<float>, ranks array<int>, min_ranks array<int>"
+    table = cf.neighbour_table(events, pairs, rules, aggregations)
+    want = cf._ordered(table).mapInArrow(cf._batch_ranker(count, cf._ranker(count, 30)), schema)
+    got = cf._through_ranker(events, pairs, rules, aggregations, cf._ranker(count, 30), schema, long_items)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_a_part_gets_the_neighbours_of_an_item_once(train):
+    pairs = cf.item_pairs(train, cf.RULES[:1]).localCheckpoint()
+    plan = cf.ranked_neighbours(train, pairs, cf.RULES[:1], ("sum",))._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Generate" not in plan
