@@ -1,9 +1,12 @@
 """Pair weights against a direct computation; blocks must not change them."""
 
 import math
+import subprocess
+import sys
 from collections import defaultdict
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sessionrec.operators import item_cf as cf
@@ -192,3 +195,10 @@ def test_a_part_gets_the_neighbours_of_an_item_once(train):
     pairs = cf.item_pairs(train, cf.RULES[:1]).localCheckpoint()
     plan = cf.ranked_neighbours(train, pairs, cf.RULES[:1], ("sum",))._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Generate" not in plan
+
+
+def test_the_scorer_needs_no_package_in_the_worker():
+    scorer = cf._scorer(cf.RULES, cf.MERGED_AGGREGATIONS, cf._ranker(27, 30))
+    code = "import sys; from pyspark import cloudpickle; cloudpickle.loads(sys.stdin.buffer.read())"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(scorer), cwd="/", capture_output=True)
+    assert done.returncode == 0, done.stderr
