@@ -5,6 +5,8 @@ import subprocess
 import sys
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -202,3 +204,55 @@ def test_the_scorer_needs_no_package_in_the_worker():
     code = "import sys; from pyspark import cloudpickle; cloudpickle.loads(sys.stdin.buffer.read())"
     done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(scorer), cwd="/", capture_output=True)
     assert done.returncode == 0, done.stderr
+
+
+@pytest.mark.parametrize("kind", (np.float32, np.float64))
+def test_ranks_by_one_number_equal_ranks_by_sorting(kind):
+    """Ties, signs, zeros and unknown scores; 64-bit scores take the plain sort."""
+    rng = np.random.default_rng(5)
+    session = np.sort(rng.integers(-3, 40, 700))
+    score = rng.integers(-4, 5, (700, 2)).astype(kind) / 4
+    score[::7] = -score[::7] * 0
+    known = rng.random(score.shape) < 0.8
+    ids = [pa.array(session), pa.array(np.arange(700))]
+    found = cf._ranker(2, 9)(session, score, known, ids).to_pydict()
+    got = {(aid, g): r for aid, ranks in zip(found["aid"], found["ranks"]) for g, r in enumerate(ranks) if r}
+    want = {}
+    for g in range(2):
+        for s in set(session):
+            rows = [i for i in range(700) if session[i] == s and known[i, g]]
+            rows.sort(key=lambda i: (-score[i, g], i))
+            want.update({(i, g): n + 1 for n, i in enumerate(rows[:9])})
+    assert got == want
+
+
+def test_ranks_are_found_without_sorting_by_several_keys(monkeypatch):
+    monkeypatch.setattr(np, "lexsort", None)
+    score = np.array([[1], [2], [1]], np.float32)
+    out = cf._ranker(1, 2, [(3, 2)])(np.array([7, 7, 8]), score, score > 0, [pa.array([7, 7, 8]), pa.array([1, 2, 3])])
+    assert out["marks"].to_pylist() == [8, 8, 8]
+
+
+def test_pairs_are_summed_once_per_pair_of_types(train):
+    plain = tuple(r for r in cf.RULES if not (r.trend or r.future))
+    plan = cf.pair_weights(train, plain)._jdf.queryExecution().optimizedPlan().toString()
+    summing = next(line for line in plan.splitlines() if "Aggregate [a" in line)
+    assert summing.count("AS sum_") == 9
+    rows = {(r.rule, r.aid, r.aid_right): r.weight for r in cf.pair_weights(train, plain).collect()}
+    assert all(rows[rule, b, a] == pytest.approx(w) for (rule, a, b), w in rows.items() if rule == plain[0].name)
+
+
+def test_cells_are_written_once(train, monkeypatch):
+    written = []
+    monkeypatch.setattr(cf, "materialize", lambda df, name, cut=cf.materialize: written.append(name) or cut(df, name))
+    monkeypatch.setattr(cf.Scratch, "table", lambda *a: pytest.fail("packed cells are for slices only"))
+    assert cf.item_pairs(train, cf.RULES[:1], slices=1).count()
+    assert written == ["session-items", "counted-cells"]
+
+
+def test_events_without_item_form_no_pairs(spark):
+    rows = [(1, 5, 100, 0, 1), (1, 6, 100, 0, 2), (1, None, 100, 0, 3)]
+    log = spark.createDataFrame(rows, "session int, aid int, ts long, type tinyint, eid long")
+    got = {(r.aid, r.aid_right): r.weight for r in cf.pair_weights(log, (cf.PairRule(popularity=False),)).collect()}
+    assert set(got) == {(5, 5), (5, 6), (6, 5), (6, 6)}
+    assert got[5, 6] == pytest.approx(1 / np.log(3))

@@ -108,3 +108,50 @@ def test_head_of_a_search_is_the_first_rows_of_the_whole(spark):
         head = vx.embedding_candidates(events, items, "x", seed, 30, head=7)
         assert head.columns == whole.columns
         assert sorted(map(tuple, head.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_seq_query_sends_an_item_once_per_part(spark, items):
+    rows = [(s, a % 45, 10 * a + s, 0, 100 * s + a) for s in range(20) for a in range(s, s + 2 * s % 23)]
+    events = spark.createDataFrame(rows, "session int, aid int, ts long, type tinyint, eid long")
+    events = events.selectExpr("nullif(session, 4) AS session", "aid", "ts", "type", "eid")
+    vec = {r.aid: np.array(r.vec) for r in items.collect()}
+    found = vx.seq_query(events, items)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    got = {r.session: np.array(r.vec) for r in found.collect()}
+    weights = np.linspace(1.0, 0.2, 17)
+    want = {}
+    for s, a, ts, _, _ in sorted(rows, key=lambda r: -r[2]):
+        if a in vec:
+            want.setdefault(None if s == 4 else s, []).append(vec[a])
+    assert set(got) == set(want)
+    for s, found in want.items():
+        newest = found[:17]
+        assert np.allclose(got[s], sum(w * newest[i % len(newest)] for i, w in enumerate(weights)))
+
+
+def test_seq_query_of_uneven_vectors(spark):
+    items = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [5.0, None])], "aid int, vec array<double>")
+    rows = [(1, 1, 10, 0, 1), (2, 2, 10, 0, 2), (3, 3, 10, 0, 3)]
+    events = spark.createDataFrame(rows, "session int, aid int, ts long, type tinyint, eid long")
+    total = float(np.linspace(1.0, 0.2, 17).sum())
+    got = {r.session: r.vec for r in vx.seq_query(events, items).collect()}
+    assert got[1] == pytest.approx([total, 2 * total]) and got[2] is None
+    assert got[3][0] == pytest.approx(5 * total) and got[3][1] is None
+
+
+def test_head_of_a_search_sorts_few_scores(spark, items):
+    queries = items.withColumnRenamed("aid", "seed")
+    search = vx._cell_search("seed", "aid", 30, 3)
+    sizes, sort = [], np.lexsort
+    left = queries.toPandas().rename(columns={"vec": "_query_vec"})
+    right = items.toPandas().rename(columns={"vec": "_item_vec"})
+    try:
+        np.lexsort = lambda keys: sizes.append(len(keys[0])) or sort(keys)
+        got = search(left, right)
+    finally:
+        np.lexsort = sort
+    assert max(sizes) < 42 * 10  # the zero vectors tie with all others
+    whole = vx._cell_search("seed", "aid", 30)(left, right)
+    stored = whole.score.astype("float32")
+    third = stored.groupby(whole.seed).transform(lambda s: s.iloc[2])
+    assert got.reset_index(drop=True).equals(whole[stored >= third].reset_index(drop=True))
