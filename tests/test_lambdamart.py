@@ -98,3 +98,39 @@ def test_nulls_and_empty(spark, pairs):  # noqa: F811
     assert lm.predict({0: model}, holes, by_fold=False).count() == pairs.count()
     empty = lm.fit(pairs.limit(0), "target_click", FEATURES, trees=2, depth=2)
     assert all(v == 0.0 for t in empty.trees for v in t.leaves)
+
+
+def test_lambdas_of_many_sessions_at_once():
+    """A block holds many sessions; their lambdas are those of each session alone."""
+    rng = np.random.default_rng(8)
+    lambdas, ndcg = lm._lambdas(20)
+    sizes = rng.integers(1, 40, 30)
+    group = np.repeat(np.arange(30) * 2, sizes)  # numbers may have gaps
+    margins, labels = np.round(rng.normal(size=len(group)), 1), (rng.random(len(group)) > 0.8).astype(int)
+    got = lambdas(margins, labels, group)
+    for s in range(30):
+        own = group == 2 * s
+        if labels[own].any():
+            assert np.allclose([g[own] for g in got], brute(margins[own].tolist(), labels[own].tolist()))
+    assert len(ndcg(margins, labels, group)) == len(set(group[labels > 0]))
+
+
+def test_all_folds_share_the_passes(spark, pairs, monkeypatch):  # noqa: F811
+    """One scan of the blocks serves the models of all folds, so passes do not grow with them."""
+    from sessionrec.operators import boosting as bo
+
+    passes = []
+    whole = bo.histograms
+    monkeypatch.setattr(bo, "histograms", lambda *a: passes.append(len(a[3])) or whole(*a))
+    models = lm.train_folds(pairs, "target_click", FEATURES, trees=2, depth=2, least=5)
+    assert passes[0] == len(models) == 3 and len(passes) <= 2 * 2 + 1
+    alone = lm.train_folds(pairs, "target_click", FEATURES, folds=(1,), trees=2, depth=2, least=5)
+    assert alone[1] == models[1]
+
+
+def test_cuts_are_quantiles(spark):
+    from sessionrec.operators.boosting import bin_cuts
+
+    rows = spark.range(40000).selectExpr("id * 1.5D AS x", "cast(id % 3 AS int) AS few", "cast(null AS double) AS none", "if(id < 100, double('nan'), 2D) AS one").repartition(3)
+    x, few, none, one = bin_cuts(rows, ["x", "few", "none", "one"], 4)
+    assert np.allclose(x, [15000, 30000, 45000], atol=60000 * 0.004) and few == [0, 1, 2] and none == [] and one == [2]
